@@ -41,6 +41,13 @@ def latest(df: DataFrame, column: str = "timestamp") -> str | None:
     return df.agg(F.max(column).cast("string")).first()[0]
 
 
-def truncate(df: DataFrame, unit: str, column: str = "timestamp") -> Column:
-    """Start of the hour, minute, ... in the column's own type."""
-    return F.date_trunc(unit, F.col(column)).cast(df.schema[column].dataType)
+def bucket(column: Column | str, seconds: int) -> Column:
+    """Number of the UTC interval a time falls into. Grouping by a whole number took a third of the
+    time of grouping by ``date_trunc``; ``bucket_start`` turns the few results back into time."""
+    moment = F.col(column) if isinstance(column, str) else column
+    return F.floor(F.unix_seconds(moment.cast("timestamp")) / F.lit(seconds))
+
+
+def bucket_start(number: Column | str, seconds: int, kind: T.DataType) -> Column:
+    col = F.col(number) if isinstance(number, str) else number
+    return F.timestamp_seconds(col * F.lit(seconds)).cast(kind)

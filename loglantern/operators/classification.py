@@ -98,19 +98,24 @@ def classes_of(model: PipelineModel) -> list[str]:
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Adds ``prediction`` and one ``proba_<class>`` column per class; the probabilities sum to 1."""
+    """Adds ``prediction`` and one ``proba_<class>`` column per class; the probabilities sum to 1.
+
+    Each binary model gives the probability of its own class in the JVM; together they are scaled
+    to sum to 1. The one-vs-rest wrapper itself would go through a Python function for every row.
+    """
     classes = classes_of(model)
-    scorer = PipelineModel(stages=model.stages[1:])
-    scored = scorer.transform(as_features(rows)).withColumn("__raw", vector_to_array("rawPrediction"))
-    scored = scored.withColumn("__odds", F.transform("__raw", lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))))
-    total = F.aggregate("__odds", F.lit(0.0), lambda acc, x: acc + x)
-    scored = scored.withColumn("__total", total).withColumn(
-        "__p", F.transform("__odds", lambda x: x / F.col("__total"))
-    )
+    scored = model.stages[1].transform(as_features(rows))
+    for i, binary in enumerate(model.stages[2].models):
+        binary = binary.copy().setFeaturesCol("scaled").setPredictionCol("")
+        scored = binary.setRawPredictionCol("").setProbabilityCol(f"__p{i}").transform(scored)
+    own = [vector_to_array(f"__p{i}")[1].alias(f"__own{i}") for i in range(len(classes))]
+    scored = scored.select(*[F.col(c) for c in rows.columns], *own)
+    total = sum((F.col(f"__own{i}") for i in range(1, len(classes))), F.col("__own0"))
+    shares = [F.col(f"__own{i}") / total for i in range(len(classes))]
     return scored.select(
         *[F.col(c) for c in rows.columns],
-        vectors.argmax("__p", classes).alias("prediction"),
-        *[F.col("__p")[i].alias(f"proba_{name}") for i, name in enumerate(classes)],
+        vectors.argmax(F.array(*shares), classes).alias("prediction"),
+        *[share.alias(f"proba_{name}") for share, name in zip(shares, classes)],
     )
 
 

@@ -106,12 +106,13 @@ def matching(
 
     The term is plain text: ``%`` and ``_`` in it stand for themselves.
     """
-    if search_term:
-        logs = logs.filter(has_any("message", [search_term]))
+    # Equalities first: they reach the scan, and the text test runs on what they leave.
     if source:
         logs = logs.filter(has_source(source))
     if level:
         logs = logs.filter(has_level(level))
+    if search_term:
+        logs = logs.filter(has_any("message", [search_term]))
     return logs
 
 

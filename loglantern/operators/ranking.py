@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.times import ago
+from ..session import shared_dir
+from .filters import at_least
+
 # Partial groups per key in the first stage of a per-group top-n.
 SALTS = 64
 
+# Spans, in hours, in which the newest rows are looked for before the whole table is.
+NEWEST_SPANS = (1, 24, 24 * 31)
+
 
 def top_groups(counts: DataFrame, n: int, key: str, by: str = "count") -> DataFrame:
     """The n greatest groups; equal counts are ordered by key."""
@@ -28,6 +35,35 @@ def newest(df: DataFrame, n: int, column: str = "timestamp") -> DataFrame:
     return df.orderBy(F.col(column).desc(), *tie_breakers(df, [column])).limit(n)
 
 
+def from_newest(
+    logs: DataFrame,
+    run: Callable[[DataFrame], DataFrame],
+    enough: Callable[[DataFrame], bool],
+    column: str = "timestamp",
+) -> DataFrame:
+    """Answers a "newest n" question on a month-partitioned table without reading all of it.
+
+    ``run`` is tried on the last hour, day and month of the table; months and row groups outside
+    the span are skipped. Rows that are older can not enter a result that is ``enough``, so the
+    answer is the same as over the whole table, which is what is read when no span suffices. The
+    tried results hold n rows per group and are kept as a checkpoint. Tables without the month
+    column are read whole.
+    """
+    if "ym" not in logs.columns:
+        return run(logs)
+    shared_dir(logs.sparkSession)
+    month = logs.agg(F.max("ym")).first()[0]
+    end = logs.filter(F.col("ym") == month).agg(F.max(column).cast("string")).first()[0]
+    if end is None:
+        return run(logs)
+    for hours in NEWEST_SPANS:
+        bound = ago(end, logs.schema[column].dataType, hours=hours)
+        found = run(at_least(logs, bound, column)).checkpoint()
+        if enough(found):
+            return found
+    return run(logs)
+
+
 def oldest(df: DataFrame, n: int, column: str = "timestamp") -> DataFrame:
     return df.orderBy(F.col(column).asc(), *tie_breakers(df, [column])).limit(n)
 

@@ -7,14 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import taxonomy, text
-from ..functions.times import Instant, truncate
+from ..functions.times import Instant, bucket, bucket_start
 from ..schemas import REPORTED_LEVELS, level_rank
 from .filters import SAMPLE_COLUMNS, SEARCH_COLUMNS, has_level, matching, recent
-from .ranking import keep_first, newest, oldest, tie_breakers, top_groups, top_per_group
-
-
-def _sum_flags(flags: dict[str, Column]) -> list[Column]:
-    return [F.count_if(flag).alias(name) for name, flag in flags.items()]
+from .ranking import from_newest, keep_first, newest, oldest, tie_breakers, top_groups, top_per_group
 
 
 # -- totals and ranges ------------------------------------------------------------------------
@@ -104,36 +100,31 @@ def per_minute(logs: DataFrame, n: int = 120) -> DataFrame:
     if isinstance(kind, T.StringType):
         grouped = logs.groupBy(text.minute_key("timestamp").alias("minute")).agg(F.count(F.lit(1)).alias("count"))
         return grouped.orderBy(F.col("minute").desc()).limit(n)
-    grouped = logs.groupBy(truncate(logs, "minute").alias("minute")).agg(F.count(F.lit(1)).alias("count"))
-    return (
-        grouped.orderBy(F.col("minute").desc())
-        .limit(n)
-        .select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "count")
-    )
+    counted = logs.groupBy(bucket("timestamp", 60).alias("__b")).agg(F.count(F.lit(1)).alias("count"))
+    shown = F.date_format(bucket_start("__b", 60, T.TimestampType()), "yyyy-MM-dd HH:mm")
+    return counted.orderBy(F.col("__b").desc()).limit(n).select(shown.alias("minute"), "count")
+
+
+def _by_time(df: DataFrame, seconds: int, name: str, measures: Sequence[Column]) -> DataFrame:
+    counted = df.groupBy(bucket("timestamp", seconds).alias("__b")).agg(*measures)
+    start = bucket_start("__b", seconds, df.schema["timestamp"].dataType)
+    return counted.withColumn(name, start).select(name, *counted.columns[1:]).orderBy(name)
 
 
 def hourly_counts(logs: DataFrame, hours: int = 24, as_of: Instant = None) -> DataFrame:
-    part = recent(logs, as_of, hours=hours)
-    return (
-        part.groupBy(truncate(part, "hour").alias("hour"))
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.count_if(has_level("error")).alias("errors"),
-            F.count_if(has_level("warning")).alias("warnings"),
-        )
-        .orderBy("hour")
-    )
+    measures = [
+        F.count(F.lit(1)).alias("count"),
+        F.count_if(has_level("error")).alias("errors"),
+        F.count_if(has_level("warning")).alias("warnings"),
+    ]
+    return _by_time(recent(logs, as_of, hours=hours), 3600, "hour", measures)
 
 
 def error_trend(logs: DataFrame, hours: int = 24, as_of: Instant = None, approximate: bool = False) -> DataFrame:
     """Errors and distinct sources by minute; ``approximate`` trades exact sources for a sketch."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    part = recent(logs, as_of, hours=hours).filter(has_level("error"))
-    return (
-        part.groupBy(truncate(part, "minute").alias("minute"))
-        .agg(F.count(F.lit(1)).alias("error_count"), distinct("source").alias("unique_sources"))
-        .orderBy("minute")
-    )
+    measures = [F.count(F.lit(1)).alias("error_count"), distinct("source").alias("unique_sources")]
+    return _by_time(recent(logs, as_of, hours=hours).filter(has_level("error")), 60, "minute", measures)
 
 
 def log_statistics(logs: DataFrame, minutes: int | None = 1, as_of: Instant = None) -> DataFrame:
@@ -172,15 +163,15 @@ def length_histogram(df: DataFrame, message: str = "message", width: int = 100)
 
 
 def severity_estimate(logs: DataFrame, lists: taxonomy.WordLists = taxonomy.SEVERITY_WORDS) -> DataFrame:
-    return logs.agg(*_sum_flags({name: taxonomy.has_any("message", words) for name, words in lists.items()}))
+    return logs.agg(*[F.count_if(flag).alias(name) for name, flag in _flags(logs, lists, "est_").items()])
 
 
-def _flags(logs: DataFrame, lists: taxonomy.WordLists) -> dict[str, Column]:
-    """Category predicates; flags that ingest has stored already are read instead of computed."""
-    computed = taxonomy.category_flags("message", lists)
-    if lists is not taxonomy.CATEGORY_WORDS:
-        return computed
-    return {name: F.col(name) if name in logs.columns else flag for name, flag in computed.items()}
+def _flags(logs: DataFrame, lists: taxonomy.WordLists, prefix: str = "is_") -> dict[str, Column]:
+    """Predicates per list; flags that ingest has stored already are read instead of computed."""
+    return {
+        name: F.col(f"{prefix}{name}") if f"{prefix}{name}" in logs.columns else taxonomy.has_any("message", words)
+        for name, words in lists.items()
+    }
 
 
 def insights_summary(
@@ -195,13 +186,13 @@ def insights_summary(
     flags = _flags(logs, lists)
     return logs.agg(
         F.count(F.lit(1)).alias("total_logs"),
-        *[F.count_if(flags[f"is_{name}"]).alias(names.get(name, name)) for name in lists],
+        *[F.count_if(flags[name]).alias(names.get(name, name)) for name in lists],
     )
 
 
 def category_flags(logs: DataFrame) -> DataFrame:
     """Every row with its category flags, the form in which ingest stores them."""
-    return logs.withColumns(taxonomy.category_flags("message"))
+    return logs.withColumns(taxonomy.flags("message", taxonomy.CATEGORY_WORDS, "is_"))
 
 
 def category_samples(
@@ -211,10 +202,15 @@ def category_samples(
 ) -> DataFrame:
     """The n newest messages of every category, in one pass over the logs."""
     order = ("timestamp", "log_id") if "log_id" in logs.columns else ("timestamp", "message", "host")
-    flags = _flags(logs, lists)
-    categories = F.array_compact(F.array(*[F.when(flags[f"is_{name}"], F.lit(name)) for name in lists]))
-    hits = logs.select(*dict.fromkeys((*order, "message")), F.explode(categories).alias("category"))
-    return top_per_group(hits, ["category"], [F.col(order[0]).desc(), *[F.col(c) for c in order[1:]]], n, rank="rank")
+    flags = [f"is_{name}" for name in lists if f"is_{name}" in logs.columns]
+
+    def run(part: DataFrame) -> DataFrame:
+        kept = part.select(*dict.fromkeys((*order, "message")), *flags)
+        hits = taxonomy.explode_matches(kept, lists, "category")
+        ranked = [F.col(order[0]).desc(), *[F.col(c) for c in order[1:]]]
+        return top_per_group(hits, ["category"], ranked, n, rank="rank")
+
+    return from_newest(logs, run, lambda found: found.count() >= n * len(lists))
 
 
 def dashboard_samples(logs: DataFrame, n: int = 2, width: int = 80) -> DataFrame:
@@ -234,9 +230,12 @@ def search_logs(
     limit: int = 100,
 ) -> DataFrame:
     """The newest rows that meet all given conditions."""
-    found = matching(logs, search_term, source, level)
-    keys = [F.col("timestamp").desc(), *tie_breakers(found, ["timestamp"])]
-    return found.orderBy(*keys).limit(limit).select(*SEARCH_COLUMNS)
+    keys = [F.col("timestamp").desc(), *tie_breakers(logs, ["timestamp", "ym"])]
+
+    def run(part: DataFrame) -> DataFrame:
+        return matching(part, search_term, source, level).orderBy(*keys).limit(limit).select(*SEARCH_COLUMNS)
+
+    return from_newest(logs, run, lambda found: found.count() >= limit)
 
 
 def sample_export(logs: DataFrame, n: int = 10_000) -> DataFrame:
@@ -245,7 +244,7 @@ def sample_export(logs: DataFrame, n: int = 10_000) -> DataFrame:
 
 
 def newest_rows(logs: DataFrame, n: int, columns: Sequence[str] = SEARCH_COLUMNS) -> DataFrame:
-    return newest(logs, n).select(*columns)
+    return from_newest(logs, lambda part: newest(part, n).select(*columns), lambda found: found.count() >= n)
 
 
 def display_rows(rows: DataFrame, message: str = "message", score: str | None = None) -> DataFrame:

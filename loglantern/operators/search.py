@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import taxonomy, text
 from .knn import knn, semantic_search
-from .ranking import keep_first, top_per_group
+from .ranking import from_newest, keep_first, top_per_group
 
 # Score shown for a keyword hit, least score of a vector hit, and the number of keyword hits below
 # which vectors are asked too. Fixed values.
@@ -32,9 +35,13 @@ def route_questions(questions: DataFrame, query: str = "query") -> DataFrame:
 
 
 def keyword_candidates(logs: DataFrame, lists: taxonomy.WordLists = taxonomy.SEARCH_WORDS) -> DataFrame:
-    """Long, noise-free rows with the search categories whose words they hold."""
+    """Long, noise-free rows with the search categories whose words they hold. Where ingest has
+    stored ``find_<category>`` flags, they reach the scan in place of the text tests."""
+    stored = [f"find_{name}" for name in lists if f"find_{name}" in logs.columns]
+    if len(stored) == len(lists):
+        logs = logs.filter(reduce(or_, (F.col(flag) for flag in stored)))
     useful = logs.filter(text.longer_than("message") & text.without_any("message", text.NOISE_KEYWORD))
-    return useful.select(*HIT_COLUMNS, F.explode(taxonomy.matched_lists("message", lists)).alias("category"))
+    return taxonomy.explode_matches(useful.select(*HIT_COLUMNS, *stored), lists, "category", prefix="find_")
 
 
 def keyword_hits(
@@ -47,18 +54,20 @@ def keyword_hits(
     before the first shuffle; copies then merge by partial aggregation, and at most ``salts`` *
     ``top`` distinct rows per category are left to order.
     """
-    from pyspark.sql import Window
-
     order = [F.col("timestamp").desc(), F.col("message").asc(), F.col("host").asc()]
     part = Window.partitionBy("category", "__part").orderBy(*order)
-    newest = (
-        keyword_candidates(logs, lists)
-        .withColumn("__part", F.spark_partition_id() % salts)
-        .withColumn("__place", F.dense_rank().over(part))
-        .filter(F.col("__place") <= top)
-    )
-    distinct = newest.groupBy("category", *HIT_COLUMNS).agg()
-    return top_per_group(distinct, ["category"], order, top, rank="rank", salts=1)
+
+    def run(rows: DataFrame) -> DataFrame:
+        newest = (
+            keyword_candidates(rows, lists)
+            .withColumn("__part", F.spark_partition_id() % salts)
+            .withColumn("__place", F.dense_rank().over(part))
+            .filter(F.col("__place") <= top)
+        )
+        distinct = newest.select("category", *HIT_COLUMNS).distinct()
+        return top_per_group(distinct, ["category"], order, top, rank="rank", salts=1)
+
+    return from_newest(logs, run, lambda found: found.count() >= top * len(lists))
 
 
 def keyword_search(

@@ -298,9 +298,9 @@ def oracle_sql() -> dict[str, str]:
             "round(count(*) * 384 * 4 / 1048576.0::double, 2) as memory_usage_mb, max(\"timestamp\") as last_updated "
             f'from (select {_TEXT} as text, "timestamp" from logs)'
         ),
-        "normalize_vectors": """with s as (select vec_id, list_transform(embedding, x -> x::double * (label + 0.5::double)) as s
+        "normalize_vectors": """with s as (select vec_id, list_transform(embedding, lambda x: x::double * (label + 0.5::double)) as s
   from embeddings), u as (select *, sqrt(list_dot_product(s, s)) as n from s),
-v as (select vec_id, n, list_transform(s, x -> x / n) as u from u)
+v as (select vec_id, n, list_transform(s, lambda x: x / n) as u from u)
 select vec_id, round(n, 5) as norm_before, round(sqrt(list_dot_product(u, u)), 5) as norm_after,
   round(list_max(u), 5) as greatest, round(list_min(u), 5) as least from v""",
         "semantic_topk": _on_store(

@@ -25,9 +25,15 @@ def _bloom(writer):
 
 
 def with_ingest_columns(logs: DataFrame) -> DataFrame:
-    """Adds what later queries would otherwise compute from every message again: the category flags
-    and the label. Substring tests cannot be pushed to Parquet, stored flags can."""
-    return logs.withColumns({**taxonomy.category_flags("message"), "label": taxonomy.label_of("message")})
+    """Adds what later queries would otherwise compute from every message again: the flags of the
+    summary (``is_``), of the severity estimate (``est_``) and of the keyword search (``find_``),
+    and the label. Tests inside a text cannot be pushed to Parquet, stored flags can."""
+    computed = {
+        **taxonomy.flags("message", taxonomy.CATEGORY_WORDS, "is_"),
+        **taxonomy.flags("message", taxonomy.SEVERITY_WORDS, "est_"),
+        **taxonomy.flags("message", taxonomy.SEARCH_WORDS, "find_"),
+    }
+    return logs.withColumns({**computed, "label": taxonomy.label_of("message")})
 
 
 def laid_out(logs: DataFrame, files: int | None = None) -> DataFrame:
