@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import taxonomy, text, vectors
+from ..session import scratch_path
 from .ranking import newest
 from .reports import counts_by, with_share
 
@@ -88,9 +89,14 @@ def train_classifier(
             StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
             OneVsRest(classifier=base, labelCol="label_index", featuresCol="scaled", parallelism=parallelism),
         ]
-        return Pipeline(stages=stages).fit(rows)
+        fitted = Pipeline(stages=stages).fit(rows)
     finally:
         rows.unpersist()
+    # A freshly fitted model carries its training summary, and with it the session, into every task.
+    # Stored and loaded again it holds the coefficients alone, as any later user of it sees it.
+    path = scratch_path(train.sparkSession, "classifier")
+    fitted.save(path)
+    return PipelineModel.load(path)
 
 
 def classes_of(model: PipelineModel) -> list[str]:

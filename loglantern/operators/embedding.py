@@ -100,10 +100,11 @@ def embed_once_per_text(
     if not 0 < hot_share <= 1:
         raise ValueError("hot_share must be in (0, 1]")
     shared_dir(df.sparkSession)
-    source = df.withColumn("__key", F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
-    counts = source.groupBy("__key", column).agg(F.count(F.lit(1)).alias("__n"))
+    given = F.coalesce(F.col(column), F.lit(""))
+    source = df.withColumn("__key", F.sha2(given, 256))
+    counts = source.groupBy("__key", given.alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
     # Costly vectors are computed once and kept: a checkpoint survives the loss of executors.
-    distinct = embed(counts, encoder, column, output).select("__key", "__n", output).checkpoint()
+    distinct = embed(counts, encoder, "__text", output).select("__key", "__n", output).checkpoint()
     total = distinct.agg(F.sum("__n")).first()[0] or 0
     is_hot = F.col("__n") > total * hot_share
     hot = distinct.filter(is_hot).select("__key", F.col(output).alias("__hot"))

@@ -12,10 +12,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import vectors
+from ..session import shared_dir
 from .ranking import SALTS, top_per_group
 
-# Greatest query block sent to the executors: about 24 MB of 384 doubles.
-BROADCAST_QUERIES = 8_192
+# Greatest size of the query block sent to every executor, and of a hit table joined by broadcast.
+BROADCAST_BYTES = 32 << 20
+BROADCAST_HITS = 500_000
 # Blocks of the exact join for larger query sets; both fit a Python worker together.
 QUERIES_PER_BLOCK = 16_384
 ROWS_PER_BLOCK = 65_536
@@ -25,9 +27,16 @@ _SCORE_ROWS = 512
 
 # -- one query --------------------------------------------------------------------------------
 
-def score_against(vector: Sequence[float] | Column, embedding: Column | str = "embedding") -> Column:
-    query = vector if isinstance(vector, Column) else vectors.literal(vector)
-    return vectors.dot(embedding, query)
+def score_against(vector: Sequence[float], embedding: Column | str = "embedding", stored_unit: bool = False) -> Column:
+    """Cosine of a stored vector and one query vector.
+
+    ``stored_unit`` says that the stored vectors have unit length, as the encoders here write them;
+    their length is then not computed again.
+    """
+    values = np.asarray(list(vector), dtype=np.float64)
+    unit = values / (np.linalg.norm(values) + vectors.EPSILON)
+    product = vectors.dot(embedding, vectors.literal(unit.tolist()))
+    return product if stored_unit else product / (vectors.norm(embedding) + F.lit(vectors.EPSILON))
 
 
 def semantic_search(
@@ -36,15 +45,14 @@ def semantic_search(
     k: int = 10,
     embedding: str = "embedding",
     tie: Sequence[str] = ("log_id",),
+    stored_unit: bool = False,
 ) -> DataFrame:
-    """The k stored rows closest to one query vector, which is brought to unit length first.
+    """The k stored rows closest to one query vector.
 
     Inside the JVM and planned as a top-n: every task keeps k rows. k above the table size simply
     returns the whole table.
     """
-    values = np.asarray(list(vector), dtype=np.float64)
-    unit = values / (np.linalg.norm(values) + vectors.EPSILON)
-    scored = store.withColumn("score", score_against(unit.tolist(), embedding))
+    scored = store.withColumn("score", score_against(vector, embedding, stored_unit))
     return scored.orderBy(F.col("score").desc(), *[F.col(c) for c in tie]).limit(k)
 
 
@@ -119,6 +127,11 @@ def _prepared(df: DataFrame, key: str, embedding: str, dim: int, name: str) -> D
     return df.filter(F.size(embedding) == dim).select(F.col(key).alias(name), F.col(embedding).alias("v"))
 
 
+def broadcast_bound(dim: int) -> int:
+    """How many query vectors of that size, as doubles, may be broadcast."""
+    return BROADCAST_BYTES // (8 * dim)
+
+
 def knn(
     corpus: DataFrame,
     queries: DataFrame,
@@ -128,7 +141,7 @@ def knn(
     query_key: str = "qid",
     embedding: str = "embedding",
     query_embedding: str = "embedding",
-    max_broadcast: int = BROADCAST_QUERIES,
+    max_broadcast: int | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
     queries_per_block: int = QUERIES_PER_BLOCK,
 ) -> DataFrame:
@@ -147,8 +160,9 @@ def knn(
     )
     arrow = pa.schema([("q", _arrow_type(kinds[0])), ("c", _arrow_type(kinds[1])), ("score", pa.float64())])
 
-    block = right.limit(max_broadcast + 1).toArrow()
-    if block.num_rows <= max_broadcast:
+    bound = broadcast_bound(dim) if max_broadcast is None else max_broadcast
+    block = right.limit(bound + 1).toArrow()
+    if block.num_rows <= bound:
         partial = _broadcast_top(left, block, k, dim, out, arrow)
     else:
         partial = _block_top(left, right, k, dim, out, arrow, rows_per_block, queries_per_block)
@@ -206,9 +220,17 @@ def _block_top(
     return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(score, out)
 
 
-def attach(hits: DataFrame, texts: DataFrame, key: str = "log_id") -> DataFrame:
-    """Looks the hit rows up in the text table by key."""
-    return hits.join(texts, key)
+def attach(hits: DataFrame, texts: DataFrame, key: str = "log_id", max_broadcast: int = BROADCAST_HITS) -> DataFrame:
+    """Looks the hit rows up in the text table by key.
+
+    The hits, k per query, are written once and counted; a number within the bound is broadcast,
+    so that the text table is scanned where it lies and not shuffled. Beyond it both sides join by
+    key.
+    """
+    shared_dir(hits.sparkSession)
+    kept = hits.checkpoint()
+    side = F.broadcast(kept) if kept.count() <= max_broadcast else kept
+    return texts.join(side, key)
 
 
 # -- approximate ------------------------------------------------------------------------------
@@ -242,7 +264,7 @@ def knn_approximate(
     times tables, and the set is used only while it is within the broadcast bound.
     """
     probes = with_buckets(queries, model, embedding).select(F.explode("buckets").alias("b")).distinct()
-    limit = BROADCAST_QUERIES * model.getNumHashTables()
+    limit = broadcast_bound(dim) * model.getNumHashTables()
     names = [row["b"] for row in probes.limit(limit + 1).collect()]
     thinned = with_buckets(corpus, model, embedding)
     if len(names) <= limit:

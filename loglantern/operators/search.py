@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import taxonomy, text
-from .knn import knn, semantic_search
+from .knn import attach, knn, semantic_search
 from .ranking import from_newest, keep_first, top_per_group
 
 # Score shown for a keyword hit, least score of a vector hit, and the number of keyword hits below
@@ -127,7 +127,7 @@ def hybrid_search(
     )
     corpus = semantic_corpus(embeddings)
     near = above(knn(corpus, unsure, top, dim, corpus_key=key), threshold)
-    by_vectors = near.join(corpus.select(key, *HIT_COLUMNS), key).select(
+    by_vectors = attach(near, embeddings.select(key, *HIT_COLUMNS), key).select(
         "qid",
         F.lit(1).alias("stage"),
         "rank",
@@ -166,8 +166,6 @@ def ask(
     return hybrid_search(asked, logs, embeddings, top, len(vector), threshold, key).orderBy("position")
 
 
-def similar_logs(
-    store: DataFrame, vector: list[float], k: int = 10, key: str = "log_id", score: Column | None = None
-) -> DataFrame:
+def similar_logs(store: DataFrame, vector: list[float], k: int = 10, key: str = "log_id") -> DataFrame:
     """The k stored messages closest to a question vector."""
-    return semantic_search(store, vector, k, tie=(key,)).drop("embedding")
+    return semantic_search(store, vector, k, tie=(key,), stored_unit=True).drop("embedding")

@@ -13,6 +13,7 @@ from ..schemas import level_rank
 from ..session import scratch_path, shared_dir
 from ..sources import readers, writers
 from ..streaming import ingest, trends
+from . import jobs
 from .tables import as_logs, dimension, log_embeddings, logs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +150,12 @@ def insights_summary_since(spark, sf):
     return reports.insights_summary(rows)
 
 
+@_query
+def overview(spark, sf):
+    """Totals, range, severity and categories from one pass over the messages."""
+    return jobs.overview(jobs.message_profile(logs(spark, sf)))
+
+
 @_query
 def recent_activity(spark, sf):
     return reports.recent_activity(logs(spark, sf), _as_of(spark, sf))
@@ -643,6 +650,22 @@ def csv_roundtrip(spark, sf):
     return spark.read.option("header", True).schema(report.schema).csv(path)
 
 
+@_query
+def newest_stored_rows(spark, sf):
+    """The newest rows of the stored table, found without reading all its months."""
+    path = scratch_path(spark, "logs")
+    writers.write_logs(_full_logs(spark, sf), path)
+    return reports.newest_rows(spark.read.parquet(path), 100)
+
+
+@_query
+def stored_keyword_search(spark, sf):
+    """Keyword hits from the flags that ingest has stored."""
+    path = scratch_path(spark, "logs")
+    writers.write_logs(writers.with_ingest_columns(_full_logs(spark, sf)), path)
+    return search.keyword_hits(spark.read.parquet(path)).withColumn("score", F.lit(0.85).cast("double"))
+
+
 @_query
 def retention_cleanup(spark, sf):
     """The table after a clean-up of rows older than ten days, and how many rows went."""

@@ -191,6 +191,11 @@ def oracle_sql() -> dict[str, str]:
         "log_statistics_all": _on_logs(_statistics("logs")),
         "insights_summary": _on_logs(f"select {_SUMMARY} from logs"),
         "insights_summary_since": _on_logs(f"select {_SUMMARY} from logs where {_recent('24 hours')}"),
+        "overview": _on_logs(
+            'select count(*) as total, min("timestamp") as earliest, max("timestamp") as latest, '
+            + ", ".join([_SEVERITY] + [_count(_any("message", w), f"category_{n}") for n, w in _CATEGORY.items()])
+            + " from logs"
+        ),
         "recent_activity": _on_logs(
             f"select count(*) as total_logs, {_count(_recent('1 hour'), 'recent_logs')}, "
             f"count(distinct case when {_recent('1 hour')} then source end) as active_sources from logs"
@@ -241,6 +246,9 @@ def oracle_sql() -> dict[str, str]:
         "newest_rows": _on_logs(
             'select "timestamp", source, level, message, pid, thread_id from logs order by "timestamp" desc, log_id limit 100'
         ),
+        "newest_stored_rows": _on_logs(
+            'select "timestamp", source, level, message, pid, thread_id from logs order by "timestamp" desc, log_id limit 100'
+        ),
         "keyset_page": _on_logs(
             "select log_id, message, \"timestamp\", host, file from logs where message <> '' "
             "and (\"timestamp\", log_id) > (timestamp '2024-01-15 12:00:00', 0) "
@@ -326,6 +334,7 @@ order by list_cosine_similarity(embedding, (select embedding::double[] from embe
         ),
         "text_vector_rebuild": _on_logs(f"select {_TEXT} as text, 384 as dim from logs"),
         "keyword_search": _on_logs(f"select *, 0.85::double as score from ({_HITS})"),
+        "stored_keyword_search": _on_logs(f"select *, 0.85::double as score from ({_HITS})"),
         "hybrid_search": _on_store(_hybrid("0.4::double") + _SHOW_HYBRID),
         "hybrid_search_loose": _on_store(_hybrid("0.3::double") + _SHOW_HYBRID),
         "hybrid_search_shown": _on_store(
