@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import taxonomy, text
+from ..session import shared_dir
 from .knn import attach, knn, semantic_search
 from .ranking import from_newest, keep_first, top_per_group
 
@@ -111,7 +112,14 @@ def hybrid_search(
     hits = spark.createDataFrame(found.collect(), found.schema)
     sizes = hits.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
-    asked = questions.filter(text.not_empty("query")).withColumn("category", taxonomy.route_of("query"))
+    # Routed once and kept: the questions are read again for each stage, and their vectors may have
+    # taken an encoder to get.
+    shared_dir(spark)
+    asked = (
+        questions.filter(text.not_empty("query"))
+        .select("qid", taxonomy.route_of("query").alias("category"), "embedding")
+        .checkpoint()
+    )
     by_words = asked.select("qid", "category").join(F.broadcast(hits), "category").select(
         "qid",
         F.lit(0).alias("stage"),

@@ -447,7 +447,7 @@ def pending_messages(spark, sf):
 
 @_query
 def document_embeddings(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = readers.spread_small(table(spark, sf, "documents").select("doc_id", "text"))
     encoder = embedding.lexical_encoder(embedding.fit_lexical(docs, "text"))
     done = embedding.embed(docs, encoder, "text")
     return done.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm("embedding"), 3).alias("norm"))
@@ -456,7 +456,7 @@ def document_embeddings(spark, sf):
 @_query
 def embed_backfill(spark, sf):
     """New rows of the vector table for all messages that have no vector yet."""
-    rows = logs(spark, sf)
+    rows = as_logs(readers.spread_small(table(spark, sf, "events")))
     done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("log_id"))
     encoder = embedding.lexical_encoder(embedding.fit_lexical(rows))
     filled = embedding.backfill_rows(rows, done, encoder)
@@ -554,10 +554,13 @@ def classification_report(spark, sf):
 
 @_query
 def split_shares(spark, sf):
-    """Train share of every label."""
+    """Rows of every label, and whether its train rows are four fifths of them to within one row
+    (and the accuracy of the quantile, one row in 100,000)."""
     labelled = classification.with_label(logs(spark, sf))
     split = classification.stratified_split(labelled)
-    return split.groupBy("label").agg(F.round(F.avg(F.col("is_train").cast("double")), 2).alias("train_share"))
+    counted = split.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_train").alias("t"))
+    off = F.abs(F.col("t") - F.col("n") * 0.8)
+    return counted.select("label", "n", (off <= 1 + F.col("n") / 100_000).alias("is_four_fifths"))
 
 
 def _trained(spark, sf):
@@ -597,7 +600,7 @@ def stored_table_scan(spark, sf):
 def stored_flags_summary(spark, sf):
     """The summary over flags that ingest has stored: no message is read."""
     path = scratch_path(spark, "logs")
-    writers.write_logs(writers.with_ingest_columns(_full_logs(spark, sf)), path)
+    writers.write_logs(_full_logs(spark, sf), path, enrich=True)
     return reports.insights_summary(spark.read.parquet(path))
 
 
@@ -662,7 +665,7 @@ def newest_stored_rows(spark, sf):
 def stored_keyword_search(spark, sf):
     """Keyword hits from the flags that ingest has stored."""
     path = scratch_path(spark, "logs")
-    writers.write_logs(writers.with_ingest_columns(_full_logs(spark, sf)), path)
+    writers.write_logs(_full_logs(spark, sf), path, enrich=True)
     return search.keyword_hits(spark.read.parquet(path)).withColumn("score", F.lit(0.85).cast("double"))
 
 

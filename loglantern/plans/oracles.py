@@ -370,7 +370,8 @@ union all select 'weighted avg', round(sum(p * support) / sum(support)::double,
   round(sum(r * support) / sum(support)::double, 4), round(sum(f * support) / sum(support)::double, 4),
   cast(sum(support) as bigint) from f""",
         "split_shares": _on_logs(
-            f"select distinct {_chain('message', taxonomy.LABEL_WORDS, repr('info'))} as label, 0.8::double as train_share from logs"
+            f"select label, count(*) as n, true as is_four_fifths from (select "
+            f"{_chain('message', taxonomy.LABEL_WORDS, repr('info'))} as label from logs) group by label"
         ),
         "stored_table_scan": _on_logs(
             "select log_id, \"timestamp\", source, level, 202401 as ym from logs "

@@ -49,11 +49,19 @@ def laid_out(logs: DataFrame, files: int | None = None) -> DataFrame:
     return ranged.sortWithinPartitions(*keys)
 
 
-def write_logs(logs: DataFrame, path: str, mode: str = "append", files: int | None = None) -> int:
+def write_logs(
+    logs: DataFrame, path: str, mode: str = "append", files: int | None = None, enrich: bool = False
+) -> int:
     """Appends to the log table: month partitions, rows in (timestamp, source, level) order, bloom
-    filters on the lookup columns. Returns the number of rows, counted by the same job."""
+    filters on the lookup columns. Returns the number of rows, counted by the same job.
+
+    ``enrich`` stores the ingest columns too. They are computed behind the exchange, because the
+    sampling that sets the ranges runs everything before it a first time.
+    """
     seen = Observation()
-    rows = laid_out(logs, files).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows = laid_out(logs, files)
+    rows = with_ingest_columns(rows) if enrich else rows
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = rows.write.mode(mode).partitionBy("ym").option("compression", COMPRESSION)
     _bloom(writer).parquet(path)
     return int(seen.get["rows"] or 0)
