@@ -67,7 +67,7 @@ def train_classifier(
     train: DataFrame,
     inverse_penalty: float = INVERSE_PENALTY,
     max_iterations: int = MAX_ITERATIONS,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> PipelineModel:
     """Standardise, then one penalised logistic regression per label.
 

@@ -185,7 +185,11 @@ def _broadcast_top(
                 best.add(*_unit_rows(batch, "c", dim))
         yield best.rows(query_ids, arrow)
 
-    return corpus.mapInArrow(score, out)
+    # Every task passes on k rows per query, so the tasks are kept to a few per core: neighbouring
+    # splits are read by one task, without a shuffle.
+    spark = corpus.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return corpus.coalesce(tasks).mapInArrow(score, out)
 
 
 def _block_top(

@@ -96,7 +96,8 @@ def top_per_group(
     Two stages, so that a group holding a large share of the rows is not ranked by one task. Every
     scan task first drops all but its own n best rows per group (the planner puts a window group
     limit ahead of the shuffle), part groups by origin then cut that down to ``salts`` * n rows,
-    and only those meet in one task per group.
+    and only those meet in one task per group. The planner does so for n up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); raise that for a greater n.
     """
     part, position = "__part", "__position"
     if salts > 1:
@@ -109,7 +110,9 @@ def top_per_group(
         )
     whole = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(position, F.row_number().over(whole)).filter(F.col(position) <= n)
-    return ranked.withColumnRenamed(position, rank) if rank else ranked.drop(position)
+    if rank:
+        ranked = ranked.withColumn(rank, F.col(position).cast("bigint"))
+    return ranked.drop(position)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

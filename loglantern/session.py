@@ -17,6 +17,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.enableVectorizedReader": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -38,10 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a folder of this machine, and that is then set as the
     checkpoint directory of the session too.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if context.getCheckpointDir() is None:  # named after the context had started
+            context.setCheckpointDir(configured)
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     fallback = tempfile.mkdtemp(prefix="run-")

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from check import TABLES, _sorted
+from check import TABLES, _sorted, unlike_types
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -30,6 +30,7 @@ def test_query(name, spark, con, sf_dir):
         return
     result = con.sql(ORACLES[name])
     assert sorted(result.columns) == sorted(df.columns)
+    assert unlike_types(df, result) == []
     assert _sorted(got, df.columns) == _sorted(result.fetchall(), result.columns)
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglantern.functions import taxonomy
-from loglantern.operators import search
+from loglantern.operators import embedding, search
+from loglantern.plans import jobs
 
 START = dt.datetime(2024, 1, 1)
 PAD = " and a long enough tail so that the row passes the eighty byte limit of the search"
@@ -122,3 +123,15 @@ def test_ask(logs, store):
 def test_similar_logs(store):
     found = search.similar_logs(store, [0.0, 7.0, 0.0], 2).collect()
     assert [r.log_id for r in found] == ["v2", "v3"] and "embedding" not in found[0]
+
+
+def test_questions_are_encoded_like_the_logs(spark):
+    """From plain questions to answers, by way of the lexical encoder."""
+    rows = [(f"v{i}", START + dt.timedelta(minutes=i), f"h{i}", m + PAD) for i, m in enumerate(["printer jam", "login by root", "queue drained"])]
+    logs = spark.createDataFrame(rows, "log_id string, timestamp timestamp, host string, message string")
+    encoder = embedding.lexical_encoder(embedding.fit_lexical(logs, dim=256))
+    store = embedding.embed(logs, encoder)
+    asked = spark.createDataFrame([(1, "who saw a printer jam?"), (2, "root login")], "qid bigint, query string")
+    found = jobs.answer(asked, logs, store, encoder, dim=256, threshold=0.1).orderBy("qid", "position").collect()
+    best = {r.qid: r.message for r in reversed(found)}
+    assert best[1].startswith("printer jam") and best[2].startswith("login by root")
