@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from loglantern.llm import quality
+from loglantern.llm import bpe, counts, quality
 from loglantern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RANKS = "byte_bpe_50k.tiktoken"
+COUNTED = "byte_bpe_50k.json"
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return bpe.digests(bpe.decode(encoded, ranks, pattern))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -19,6 +34,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op8_token_counts": op8_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }
 
