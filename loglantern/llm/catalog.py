@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglantern.llm import bpe, counts, exact, language, quality
+from loglantern.llm import bpe, counts, exact, language, mixing, quality
 from loglantern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ WINDOW same AS (PARTITION BY norm)
 """
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_source_mix": op7_source_mix,
         "op8_token_counts": op8_token_counts,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
