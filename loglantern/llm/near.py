@@ -5,8 +5,9 @@
    and 2 (in at most one of ``RARE``). Only frequent shingles need a count of their own: hashed counts of all shingles say
    which can be frequent, and those are counted exactly in a second pass.
 3. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples; texts that agree in a band are candidates.
-4. Equal texts count as one. In each bucket all are compared with a few centres; then texts that are still apart are
-   compared in blocks. Candidates whose samples agree too rarely are left out, the others are verified exactly.
+4. Equal texts count as one. In each bucket all are verified against one centre. Then texts of a bucket that are still
+   apart are compared in blocks; pairs whose samples agree too rarely are left out, and so are those that the distances
+   to their centre tell apart (1 - similarity is a metric). The others are verified exactly.
 5. Connected texts form a group; its least ``doc_id`` names it.
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loglantern.llm import texts
 from loglantern.llm.frames import written
@@ -27,8 +28,8 @@ SIMILARITY = 0.8
 # A pair at the threshold shares no band with probability (1 - 0.8**3)**16 = 1e-5.
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
-# A pair at the threshold agrees in 38 of 48 samples on average, in fewer than 24 with probability below 1e-5.
-AGREE = 24
+# A pair at the threshold agrees in 38 of 48 samples on average, in fewer than 25 with probability below 1e-5.
+AGREE = 25
 # Document frequencies of at most 1 / RARE of the texts count as equally rare.
 RARE = 1000.0
 # Hashed counters of document frequency; with L shingles a text each holds L / 2**21 of the texts besides its own.
@@ -39,6 +40,7 @@ BLOCK_ROWS = 256
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(SAMPLES + 1, dtype=np.uint64) * _GOLD
+_ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +187,13 @@ def samples(hashed: np.ndarray, weight: np.ndarray, begin: np.ndarray) -> np.nda
     at, log_weight = begin[full], np.log(weight).astype(np.float32)
     group = np.repeat(np.arange(len(full)), np.diff(begin)[full])
     for k in range(SAMPLES):
-        bits = texts.mix(hashed + _STEPS[k + 1])
-        r = _GAMMA[bits & np.uint64(0xFFFF)]
-        b = ((bits >> np.uint64(32)) & np.uint64(0xFFFFF)).astype(np.float32) * np.float32(2.0**-20)
+        bits = (hashed ^ _STEPS[k + 1]) * _ODD
+        bits ^= bits >> np.uint64(29)
+        bits *= _STEPS[1]
+        r = _GAMMA[bits >> np.uint64(48)]
+        b = ((bits >> np.uint64(12)) & np.uint64(0xFFFFF)).astype(np.float32) * np.float32(2.0**-20)
         t = np.floor(log_weight / r + b)
-        a = _LOG_GAMMA[(bits >> np.uint64(16)) & np.uint64(0xFFFF)] - r * (t - b + 1)
+        a = _LOG_GAMMA[(bits >> np.uint64(32)) & np.uint64(0xFFFF)] - r * (t - b + 1)
         least = np.minimum.reduceat(a, at)
         hit = np.flatnonzero(a == least[group])
         # Of ties, the least hash: hashes ascend within a row.
@@ -199,15 +203,19 @@ def samples(hashed: np.ndarray, weight: np.ndarray, begin: np.ndarray) -> np.nda
     return out
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``_node`` (digest of the text, the same for equal texts), ``_total`` (sum of the
     weights), ``_sample`` (``SAMPLES`` values of 32 bits) and ``_bands`` (hash by band); rows without words have no bands."""
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_node", F.md5(F.col("_text").cast("binary")))
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_node", _digest("_text"))
     source = source.select("doc_id", "_node", "_text")
     schema = T.StructType(
         [
             source.schema["doc_id"],
-            T.StructField("_node", T.StringType()),
+            T.StructField("_node", T.BinaryType()),
             T.StructField("_total", T.DoubleType()),
             T.StructField("_sample", T.BinaryType()),
             T.StructField("_bands", T.ArrayType(T.LongType())),
@@ -250,18 +258,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u4").reshape(-1, SAMPLES)
 
 
-def _likely(pairs: DataFrame) -> DataFrame:
-    """Pairs (``_a``, ``_b``) whose samples ``_sa`` and ``_sb`` agree often enough to be worth a look."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                enough = _agreement(_matrix(frame["_sa"]), _matrix(frame["_sb"])) >= AGREE
-                yield frame.loc[enough, ["_a", "_b"]]
-
-    return pairs.mapInPandas(run, "_a string, _b string").distinct()
-
-
 def _vectors(wanted: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
     """``_node`` and ``_vector`` of the wanted texts: their shingles in ascending order, and the weights."""
     source = docs.select(F.coalesce("text", F.lit("")).alias("_text"), "_node").join(wanted, "_node", "left_semi").dropDuplicates(["_node"])
@@ -272,24 +268,36 @@ def _vectors(wanted: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
             for first, last, data, offsets in texts.byte_slices(batch.column("_text")):
                 hashed, n, begin = counted(data, offsets)
                 weight = (n * shared.value.of(hashed)).astype("<f4")
-                out = [hashed[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
+                out = [_packed(hashed[a:b], weight[a:b]) for a, b in zip(begin[:-1], begin[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("_node").slice(first, last - first), pa.array(out, pa.binary())], names=["_node", "_vector"])
 
-    return source.mapInArrow(run, "_node string, _vector binary")
+    return source.mapInArrow(run, "_node binary, _vector binary")
+
+
+def _packed(hashed: np.ndarray, weight: np.ndarray) -> bytes:
+    """Number of shingles, shingles, and place and weight of those that don't weigh 2."""
+    odd = np.flatnonzero(weight != 2)
+    return np.int32(len(hashed)).tobytes() + hashed.tobytes() + odd.astype("<i4").tobytes() + weight[odd].tobytes()
+
+
+def _unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(vector[:4], "little")
+    odd = (len(vector) - 4 - 8 * n) // 8
+    weight = np.full(n, 2.0)
+    weight[np.frombuffer(vector, "<i4", odd, 4 + 8 * n)] = np.frombuffer(vector, "<f4", odd, 4 + 8 * n + 4 * odd)
+    return np.frombuffer(vector, "<u8", n, 4), weight
 
 
 def _similarity(a: bytes, b: bytes) -> float:
-    n, m = len(a) // 12, len(b) // 12
-    ha, wa = np.frombuffer(a, "<u8", n), np.frombuffer(a, "<f4", n, 8 * n).astype(float)
-    hb, wb = np.frombuffer(b, "<u8", m), np.frombuffer(b, "<f4", m, 8 * m).astype(float)
-    at = np.minimum(np.searchsorted(hb, ha), m - 1)
+    (ha, wa), (hb, wb) = _unpacked(a), _unpacked(b)
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
     common = hb[at] == ha
     least = np.minimum(wa[common], wb[at[common]]).sum()
     return float(least / (wa.sum() + wb.sum() - least))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity is at least ``similarity``."""
+def _measured(pairs: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
+    """The pairs with ``_j``, their weighted Jaccard similarity."""
     wanted = pairs.select(F.col("_a").alias("_node")).union(pairs.select(F.col("_b").alias("_node"))).distinct()
     vectors = written(_vectors(wanted, docs, weights), "vectors")
     left = pairs.join(vectors.select(F.col("_node").alias("_a"), F.col("_vector").alias("_va")), "_a")
@@ -298,10 +306,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, similarity: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("_va"), batch.column("_vb")
-            near = [_similarity(a[i].as_py(), b[i].as_py()) >= similarity for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b")], names=["_a", "_b"]).filter(pa.array(near, pa.bool_()))
+            found = [_similarity(a[i].as_py(), b[i].as_py()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), pa.array(found, pa.float64())], names=["_a", "_b", "_j"])
 
-    return both.select("_a", "_b", "_va", "_vb").mapInArrow(run, "_a string, _b string")
+    return written(both.select("_a", "_b", "_va", "_vb").mapInArrow(run, "_a binary, _b binary, _j double"), "measured")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -331,35 +339,68 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(links.select(F.col("_a").alias("_node"), F.col("_a").alias("_root")).distinct())
 
 
-def _outsiders(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (``_a``, ``_b``) of texts in one bucket that are not connected yet and whose samples agree often enough.
+def _outsiders(members: DataFrame, roots: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (``_a``, ``_b``) of texts in one bucket that are not connected yet and may be near.
 
-    ``members`` has ``_bucket``, ``_node`` and ``_sample``. Buckets that lie within one component are done. In the others
-    members are cut into blocks, and each pair of blocks is one row of work, wherever it runs.
+    ``members`` has ``_bucket``, ``_centre``, ``_node`` and ``_sample``, ``stars`` the similarities to the centres. Buckets
+    that lie within one component are done. In the others members are cut into blocks, and each pair of blocks is a
+    piece of work of its own.
     """
     placed = members.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     mixed = placed.groupBy("_bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.count("*").alias("_n")).filter("_low < _high")
-    open_ = placed.join(mixed.select(F.col("_bucket").alias("_k"), "_n"), F.col("_bucket") == F.col("_k")).drop("_k")
+    open_ = placed.filter("_node <> _centre").join(mixed.select(F.col("_bucket").alias("_k"), "_n"), F.col("_bucket") == F.col("_k")).drop("_k")
     blocks = F.ceil(F.col("_n") / BLOCK_ROWS).cast("long")
     dealt = open_.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")))
     # Block i meets block j >= i once: a row goes to the pairs that its block is in.
-    meets = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_block")).alias("i"), F.greatest(j, F.col("_block")).alias("j")))
-    spread = dealt.withColumn("_pair", F.explode(meets)).select("_bucket", "_pair", "_block", "_node", "_root", "_sample")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group, group
-        if group["_block"].nunique() > 1:
-            left, right = group[group["_block"] == group["_block"].min()], group[group["_block"] != group["_block"].min()]
-        a, b = _matrix(left["_sample"]), _matrix(right["_sample"])
-        na, nb = left["_node"].to_numpy(), right["_node"].to_numpy()
-        ra, rb = left["_root"].to_numpy(), right["_root"].to_numpy()
-        out: list[tuple] = []
-        for i in range(len(a)):
-            near = np.flatnonzero((_agreement(a[i], b) >= AGREE) & (rb != ra[i]))
-            out += [(min(na[i], nb[k]), max(na[i], nb[k])) for k in near]
-        return pd.DataFrame(out, columns=["_a", "_b"]).drop_duplicates()
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("_blocks") - 1),
+        lambda j: F.least(j, F.col("_block")) * F.col("_blocks") + F.greatest(j, F.col("_block")),
+    )
+    spread = dealt.withColumn("_pair", F.explode(meets)).select("_bucket", "_pair", "_block", "_centre", "_node", "_root", "_sample", "_blocks")
+    work = spread.repartition("_bucket", "_pair").sortWithinPartitions("_bucket", "_pair")
+
+    def compare(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """All pairs of rows of one piece of work, for all pieces at once: rows that stand s apart, for s = 1, 2, ..."""
+        sample = _matrix(frame["_sample"])
+        start = np.ones(len(frame), bool)
+        start[1:] = (frame["_bucket"].to_numpy()[1:] != frame["_bucket"].to_numpy()[:-1]) | (frame["_pair"].to_numpy()[1:] != frame["_pair"].to_numpy()[:-1])
+        piece = np.cumsum(start)
+        block, root = frame["_block"].to_numpy(), pd.factorize(frame["_root"])[0]
+        own = frame["_pair"].to_numpy() % (frame["_blocks"].to_numpy() + 1) == 0  # a block with itself
+        nodes, centres = frame["_node"].to_numpy(), frame["_centre"].to_numpy()
+        at, step = np.arange(len(frame)), 1
+        while True:
+            at = at[at + step < len(frame)]
+            at = at[piece[at] == piece[at + step]]
+            if not len(at):
+                return
+            to = at + step
+            use = (root[at] != root[to]) & (own[at] | (block[at] != block[to]))
+            a, b = at[use], to[use]
+            near = _agreement(sample[a], sample[b]) >= AGREE
+            if near.any():
+                x, y = nodes[a[near]], nodes[b[near]]
+                yield pd.DataFrame({"_a": np.where(x < y, x, y), "_b": np.where(x < y, y, x), "_centre": centres[a[near]]})
+            step += 1
 
-    return spread.groupBy("_bucket", "_pair").applyInPandas(compare, "_a string, _b string").distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            last = (frame["_bucket"] == frame["_bucket"].iloc[-1]) & (frame["_pair"] == frame["_pair"].iloc[-1])
+            rest = frame[last].reset_index(drop=True)
+            if not last.all():
+                yield from compare(frame[~last].reset_index(drop=True))
+        if rest is not None:
+            yield from compare(rest)
+
+    found = work.mapInPandas(run, "_a binary, _b binary, _centre binary").distinct()
+    known = stars.select(F.col("_a").alias("_c"), F.col("_b").alias("_n"), "_j")
+    for side in ("_a", "_b"):
+        to = known.withColumnRenamed("_j", f"_j{side}")
+        found = found.join(to, (F.col("_centre") == F.col("_c")) & (F.col(side) == F.col("_n"))).drop("_c", "_n")
+    apart = F.max(F.abs(F.col("_j_a") - F.col("_j_b"))).alias("_apart")
+    return found.groupBy("_a", "_b").agg(apart).filter(F.col("_apart") <= 1 - similarity + 1e-6).select("_a", "_b")
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -377,16 +418,17 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     shared = banded.groupBy("_bucket").agg(F.min("_node").alias("_centre"), F.count("*").alias("_size")).filter("_size > 1")
     # Samples join a member only where its bucket is shared.
     members = banded.join(shared.select(F.col("_bucket").alias("_k"), "_centre"), F.col("_bucket") == F.col("_k")).drop("_k")
-    members = written(members.join(nodes.select(F.col("_node").alias("_n"), "_sample"), F.col("_node") == F.col("_n")).drop("_n"), "members")
-    samples_of = members.dropDuplicates(["_node"]).select(F.col("_node").alias("_n"), F.col("_sample").alias("_sa"))
-    stars = members.filter("_node <> _centre").dropDuplicates(["_node", "_centre"])
-    stars = stars.join(samples_of, F.col("_centre") == F.col("_n")).select(F.col("_centre").alias("_a"), F.col("_node").alias("_b"), "_sa", F.col("_sample").alias("_sb"))
-    with_node = source.withColumn("_node", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    links = written(_verified(written(_likely(stars), "stars"), with_node, weights, similarity), "near")
+    members = members.join(nodes.select(F.col("_node").alias("_n"), "_sample"), F.col("_node") == F.col("_n")).drop("_n")
+    members = written(members, "members")
+    stars = members.filter("_node <> _centre").select(F.col("_centre").alias("_a"), F.col("_node").alias("_b")).distinct()
+    with_node = source.withColumn("_node", _digest("text"))
+    stars = _measured(written(stars, "stars"), with_node, weights)
+    near = F.col("_j") >= similarity
+    links = stars.filter(near).select("_a", "_b")
     roots = components(links)
-    more = written(_outsiders(members.select("_bucket", "_node", "_sample"), roots), "outsiders")
+    more = written(_outsiders(members, roots, stars, similarity), "outsiders")
     if not more.isEmpty():
-        roots = components(links.union(_verified(more, with_node, weights, similarity)))
+        roots = components(links.union(_measured(more, with_node, weights).filter(near).select("_a", "_b")))
     placed = signed.select("doc_id", "_node").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     placed = written(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id"), F.col("_row"))).alias("_first")
@@ -403,7 +445,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def key(node):
         return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), node)
 
-    stay = near_groups(docs, similarity).filter("kept").select(key(F.col("_node")).alias("_k"))
+    stay = near_groups(docs, similarity).filter("kept").select(key(F.lower(F.hex("_node"))).alias("_k"))
     keyed = docs.withColumn("_key", key(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     # Rows that are alike in id and text have one key; one of them stays.
     return keyed.join(stay, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in names])

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Text bytes worked on at a time. Longer single texts make a slice of their own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # White space that parts words: [\x20\x09-\x0D]. Fixed values.
 _SPACE = np.zeros(256, bool)
@@ -56,7 +56,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), _INVERSE if inverse else _BASE, np.uint64)
         steps[0] = 1
         known = np.multiply.accumulate(steps)
-        if len(known) <= 4 * SLICE_BYTES:  # what single long texts need isn't kept
+        if len(known) <= 2 * SLICE_BYTES:  # what single long texts need isn't kept
             _powers[inverse] = known
     return known[:n]
 
