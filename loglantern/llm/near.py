@@ -5,9 +5,10 @@
    and 2 (in at most one of ``RARE``). Only frequent shingles need a count of their own: hashed counts of all shingles say
    which can be frequent, and those are counted exactly in a second pass.
 3. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples; texts that agree in a band are candidates.
-4. Equal texts count as one. In each bucket all are verified against one centre. Then texts of a bucket that are still
-   apart are compared in blocks; pairs whose samples agree too rarely are left out, and so are those that the distances
-   to their centre tell apart (1 - similarity is a metric). The others are verified exactly.
+4. Equal texts count as one. In each bucket all are verified against one centre, its least text. Then the texts of a
+   centre that are still apart are compared in blocks; pairs whose samples agree too rarely are left out, and so are
+   those that the distances to their centre tell apart (1 - similarity is a metric). The others are verified exactly
+   where they meet, and only links between what is still apart leave the task.
 5. Connected texts form a group; its least ``doc_id`` names it.
 """
 
@@ -35,8 +36,8 @@ RARE = 1000.0
 # Hashed counters of document frequency; with L shingles a text each holds L / 2**21 of the texts besides its own.
 BUCKETS = 1 << 21
 BLOCK = 4096
-# Members of a bucket that are compared as a block.
-BLOCK_ROWS = 256
+# Texts of a centre that are compared as a block.
+BLOCK_ROWS = 1024
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(SAMPLES + 1, dtype=np.uint64) * _GOLD
@@ -288,25 +289,23 @@ def _unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(vector, "<u8", n, 4), weight
 
 
-def _similarity(a: bytes, b: bytes) -> float:
-    (ha, wa), (hb, wb) = _unpacked(a), _unpacked(b)
+def _similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    (ha, wa), (hb, wb) = a, b
     at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
     common = hb[at] == ha
     least = np.minimum(wa[common], wb[at[common]]).sum()
     return float(least / (wa.sum() + wb.sum() - least))
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
+def _measured(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """The pairs with ``_j``, their weighted Jaccard similarity."""
-    wanted = pairs.select(F.col("_a").alias("_node")).union(pairs.select(F.col("_b").alias("_node"))).distinct()
-    vectors = written(_vectors(wanted, docs, weights), "vectors")
     left = pairs.join(vectors.select(F.col("_node").alias("_a"), F.col("_vector").alias("_va")), "_a")
     both = left.join(vectors.select(F.col("_node").alias("_b"), F.col("_vector").alias("_vb")), "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("_va"), batch.column("_vb")
-            found = [_similarity(a[i].as_py(), b[i].as_py()) for i in range(batch.num_rows)]
+            found = [_similarity(_unpacked(a[i].as_py()), _unpacked(b[i].as_py())) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), pa.array(found, pa.float64())], names=["_a", "_b", "_j"])
 
     return written(both.select("_a", "_b", "_va", "_vb").mapInArrow(run, "_a binary, _b binary, _j double"), "measured")
@@ -339,68 +338,66 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(links.select(F.col("_a").alias("_node"), F.col("_a").alias("_root")).distinct())
 
 
-def _outsiders(members: DataFrame, roots: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (``_a``, ``_b``) of texts in one bucket that are not connected yet and may be near.
+def _more_links(stars: DataFrame, roots: DataFrame, sampled: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    """Links (``_a``, ``_b``) between texts of one centre that the centre itself doesn't connect.
 
-    ``members`` has ``_bucket``, ``_centre``, ``_node`` and ``_sample``, ``stars`` the similarities to the centres. Buckets
-    that lie within one component are done. In the others members are cut into blocks, and each pair of blocks is a
-    piece of work of its own.
+    ``stars`` has the similarity ``_j`` of each text ``_b`` to each of its centres ``_a``. Centres whose texts lie within one
+    component are done. The texts of the others are cut into blocks, and each pair of blocks is a piece of work of its
+    own, which gives at most one link for each component that it joins to another.
     """
-    placed = members.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    mixed = placed.groupBy("_bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.count("*").alias("_n")).filter("_low < _high")
-    open_ = placed.filter("_node <> _centre").join(mixed.select(F.col("_bucket").alias("_k"), "_n"), F.col("_bucket") == F.col("_k")).drop("_k")
+    placed = stars.select(F.col("_a").alias("_centre"), F.col("_b").alias("_node"), "_j").join(roots, "_node", "left")
+    placed = placed.withColumn("_root", F.coalesce("_root", "_node"))
+    mixed = placed.groupBy("_centre").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.count("*").alias("_n")).filter("_low < _high")
+    open_ = placed.join(mixed.select(F.col("_centre").alias("_k"), "_n"), F.col("_centre") == F.col("_k")).drop("_k")
     blocks = F.ceil(F.col("_n") / BLOCK_ROWS).cast("long")
     dealt = open_.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")))
+    dealt = dealt.join(sampled, "_node").join(vectors, "_node")
     # Block i meets block j >= i once: a row goes to the pairs that its block is in.
     meets = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1),
         lambda j: F.least(j, F.col("_block")) * F.col("_blocks") + F.greatest(j, F.col("_block")),
     )
-    spread = dealt.withColumn("_pair", F.explode(meets)).select("_bucket", "_pair", "_block", "_centre", "_node", "_root", "_sample", "_blocks")
-    work = spread.repartition("_bucket", "_pair").sortWithinPartitions("_bucket", "_pair")
-
-    def compare(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """All pairs of rows of one piece of work, for all pieces at once: rows that stand s apart, for s = 1, 2, ..."""
-        sample = _matrix(frame["_sample"])
-        start = np.ones(len(frame), bool)
-        start[1:] = (frame["_bucket"].to_numpy()[1:] != frame["_bucket"].to_numpy()[:-1]) | (frame["_pair"].to_numpy()[1:] != frame["_pair"].to_numpy()[:-1])
-        piece = np.cumsum(start)
-        block, root = frame["_block"].to_numpy(), pd.factorize(frame["_root"])[0]
-        own = frame["_pair"].to_numpy() % (frame["_blocks"].to_numpy() + 1) == 0  # a block with itself
-        nodes, centres = frame["_node"].to_numpy(), frame["_centre"].to_numpy()
-        at, step = np.arange(len(frame)), 1
-        while True:
-            at = at[at + step < len(frame)]
-            at = at[piece[at] == piece[at + step]]
-            if not len(at):
-                return
-            to = at + step
-            use = (root[at] != root[to]) & (own[at] | (block[at] != block[to]))
-            a, b = at[use], to[use]
-            near = _agreement(sample[a], sample[b]) >= AGREE
-            if near.any():
-                x, y = nodes[a[near]], nodes[b[near]]
-                yield pd.DataFrame({"_a": np.where(x < y, x, y), "_b": np.where(x < y, y, x), "_centre": centres[a[near]]})
-            step += 1
+    columns = ["_centre", "_pair", "_blocks", "_block", "_node", "_root", "_j", "_sample", "_vector"]
+    work = dealt.withColumn("_pair", F.explode(meets)).select(*columns).repartition("_centre", "_pair").sortWithinPartitions("_centre", "_pair")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        """All pairs of rows of one piece of work: rows that stand s apart, for s = 1, 2, ..."""
+        sample, block, j = _matrix(frame["_sample"]), frame["_block"].to_numpy(), frame["_j"].to_numpy()
+        nodes, vectors = frame["_node"].to_numpy(), frame["_vector"].to_numpy()
+        own = frame["_pair"].iloc[0] % (frame["_blocks"].iloc[0] + 1) == 0  # a block with itself
+        root = pd.factorize(frame["_root"])[0]
+        unpacked: dict[int, tuple] = {}
+        out = []
+        for step in range(1, len(frame)):
+            use = (root[:-step] != root[step:]) & (np.abs(j[:-step] - j[step:]) <= 1 - similarity + 1e-6)
+            if not own:
+                use &= block[:-step] != block[step:]
+            a = np.flatnonzero(use)
+            a = a[_agreement(sample[a], sample[a + step]) >= AGREE]
+            for x, y in zip(a.tolist(), (a + step).tolist()):
+                if root[x] == root[y]:
+                    continue
+                for k in (x, y):
+                    if k not in unpacked:
+                        unpacked[k] = _unpacked(vectors[k])
+                if _similarity(unpacked[x], unpacked[y]) >= similarity:
+                    out.append((nodes[x], nodes[y]))
+                    root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["_a", "_b"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest: list[pd.DataFrame] = []
         for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            last = (frame["_bucket"] == frame["_bucket"].iloc[-1]) & (frame["_pair"] == frame["_pair"].iloc[-1])
-            rest = frame[last].reset_index(drop=True)
-            if not last.all():
-                yield from compare(frame[~last].reset_index(drop=True))
-        if rest is not None:
-            yield from compare(rest)
-
-    found = work.mapInPandas(run, "_a binary, _b binary, _centre binary").distinct()
-    known = stars.select(F.col("_a").alias("_c"), F.col("_b").alias("_n"), "_j")
-    for side in ("_a", "_b"):
-        to = known.withColumnRenamed("_j", f"_j{side}")
-        found = found.join(to, (F.col("_centre") == F.col("_c")) & (F.col(side) == F.col("_n"))).drop("_c", "_n")
-    apart = F.max(F.abs(F.col("_j_a") - F.col("_j_b"))).alias("_apart")
-    return found.groupBy("_a", "_b").agg(apart).filter(F.col("_apart") <= 1 - similarity + 1e-6).select("_a", "_b")
+            new = (frame["_pair"] != frame["_pair"].shift()) | (frame["_centre"] != frame["_centre"].shift())
+            for _, piece in frame.groupby(new.cumsum(), sort=False):
+                if rest and (rest[0]["_pair"].iloc[0] != piece["_pair"].iloc[0] or rest[0]["_centre"].iloc[0] != piece["_centre"].iloc[0]):
+                    yield compare(pd.concat(rest, ignore_index=True))
+                    rest = []
+                rest.append(piece)
+        if rest:
+            yield compare(pd.concat(rest, ignore_index=True))
+
+    return work.mapInPandas(run, "_a binary, _b binary")
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -416,19 +413,16 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = signed.groupBy("_node").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n"), F.min("_sample").alias("_sample"), F.min("_bands").alias("_bands"))
     banded = nodes.select("_node", F.explode("_bands").alias("_bucket"))
     shared = banded.groupBy("_bucket").agg(F.min("_node").alias("_centre"), F.count("*").alias("_size")).filter("_size > 1")
-    # Samples join a member only where its bucket is shared.
-    members = banded.join(shared.select(F.col("_bucket").alias("_k"), "_centre"), F.col("_bucket") == F.col("_k")).drop("_k")
-    members = members.join(nodes.select(F.col("_node").alias("_n"), "_sample"), F.col("_node") == F.col("_n")).drop("_n")
-    members = written(members, "members")
-    stars = members.filter("_node <> _centre").select(F.col("_centre").alias("_a"), F.col("_node").alias("_b")).distinct()
-    with_node = source.withColumn("_node", _digest("text"))
-    stars = _measured(written(stars, "stars"), with_node, weights)
-    near = F.col("_j") >= similarity
-    links = stars.filter(near).select("_a", "_b")
+    members = banded.join(shared.select(F.col("_bucket").alias("_k"), "_centre"), F.col("_bucket") == F.col("_k")).filter("_node <> _centre")
+    stars = written(members.select(F.col("_centre").alias("_a"), F.col("_node").alias("_b")).distinct(), "stars")
+    wanted = stars.select(F.col("_a").alias("_node")).union(stars.select(F.col("_b").alias("_node"))).distinct()
+    vectors = written(_vectors(wanted, source.withColumn("_node", _digest("text")), weights), "vectors")
+    stars = _measured(stars, vectors)
+    links = stars.filter(F.col("_j") >= similarity).select("_a", "_b")
     roots = components(links)
-    more = written(_outsiders(members, roots, stars, similarity), "outsiders")
+    more = written(_more_links(stars, roots, nodes.select("_node", "_sample"), vectors, similarity), "more")
     if not more.isEmpty():
-        roots = components(links.union(_measured(more, with_node, weights).filter(near).select("_a", "_b")))
+        roots = components(links.union(more))
     placed = signed.select("doc_id", "_node").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     placed = written(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id"), F.col("_row"))).alias("_first")
