@@ -58,6 +58,18 @@ def _single(kind: str) -> str:
     return f"^(?:{PATTERNS[kind]})$"
 
 
+# Each mention holds a digit, an @ or one of these; so most texts are told clean without the patterns.
+_MARKS = (
+    "AKIA password passwd secret token api_key apikey Mr. Mrs. Ms. Dr. Prof. Sr. Sra. Srta. Herr Frau Mme Mlle Monsieur Madame Señor Señora"
+    " осподин оспожа ύριος υρία"
+).split()
+
+
+def _has_mention() -> Column:
+    marked = reduce(lambda a, b: a | b, [F.col("text").contains(mark) for mark in _MARKS], F.col("text").rlike("[0-9@]"))
+    return F.coalesce(marked & F.col("text").rlike(ANY), F.lit(False))
+
+
 def _kind(mention: Column) -> Column:
     tests = [(kind, mention.rlike(_single(kind))) for kind in PATTERNS]
     return F.coalesce(*[F.when(test, F.lit(kind)) for kind, test in tests])
@@ -78,7 +90,7 @@ def _part(kind: Column | str, norm: Column, shown: Column) -> Column:
 
 def mentions(docs: DataFrame) -> DataFrame:
     """``_text`` (digest of the text), ``_at``, ``_mention``: each once for equal texts."""
-    found = docs.filter(F.col("text").rlike(ANY)).select(
+    found = docs.filter(_has_mention()).select(
         F.md5(F.col("text").cast("binary")).alias("_text"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("_at", "_mention")
     )
     # Copies of a text meet as partial groups.
@@ -271,7 +283,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     pieces = replaced.select("_text", "_at", "_place", shown.alias("_new"))
     whole = pieces.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("_at", "_place", "_new"))).alias("_all"))
     # Texts without mentions aren't shuffled.
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    has = _has_mention()
     keep = [F.col(f"`{c}`") for c in names]
     others = docs.filter(~has).select(*keep, F.lit(0).cast("long").alias("n_entities"))
     keyed = docs.filter(has).withColumn("_digest", F.md5(F.col("text").cast("binary"))).join(whole, F.col("_digest") == F.col("_text"))
