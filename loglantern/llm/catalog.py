@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglantern.llm import bpe, counts, exact, language, mixing, near, pages, pii, quality
+from loglantern.llm import bpe, counts, exact, language, mixing, near, pages, pii, quality, repeats
 from loglantern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op2_near_dedup": op2_near_dedup,
         "op3_html_text": op3_html_text,
         "op4_pii_surrogates": op4_pii_surrogates,
+        "op5_repeated_passages": op5_repeated_passages,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_source_mix": op7_source_mix,
         "op8_token_counts": op8_token_counts,
