@@ -20,3 +20,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def plainly(df: DataFrame, *known: str) -> DataFrame:
+    """The rows with all columns but the known ones named by their place, so that no name clashes with a working column."""
+    return df.toDF(*[c if c in known else f"_c{i}" for i, c in enumerate(df.columns)])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loglantern.llm import texts
-from loglantern.llm.frames import written
+from loglantern.llm.frames import plainly, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -434,12 +434,13 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group."""
-    names = docs.columns
+    plain = plainly(docs, "doc_id", "text")
 
     def key(node):
         return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), node)
 
     stay = near_groups(docs, similarity).filter("kept").select(key(F.lower(F.hex("_node"))).alias("_k"))
-    keyed = docs.withColumn("_key", key(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    keyed = plain.withColumn("_key", key(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     # Rows that are alike in id and text have one key; one of them stays.
-    return keyed.join(stay, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in names])
+    kept = keyed.join(stay, F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"])
+    return kept.select(*plain.columns).toDF(*docs.columns)

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loglantern.llm.frames import written
+from loglantern.llm.frames import plainly, written
 
 KEY = "surrogates"
 
@@ -275,6 +275,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     Null texts stay null, empty ones and texts without mentions stay as they are, with 0 mentions; all other columns and
     repeated rows are kept. ``key`` decides all surrogates; another key gives others.
     """
+    original = docs.columns
+    docs = plainly(docs, "text")
     names = docs.columns
     found = written(parts(mentions(docs)), "mentions")
     made = surrogates(found.filter(F.col("kind").isNotNull()), key).select(F.col("kind").alias("_k"), F.col("norm").alias("_m"), "_surrogate")
@@ -292,4 +294,4 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     new = lambda i: F.concat_ws("", F.transform(F.filter("_all", lambda p: p["_at"] == i), lambda p: p["_new"]))
     text = F.concat_ws("", F.transform(gaps, lambda gap, i: F.concat(gap, F.when(i < count, new(i)).otherwise(F.lit("")))))
     done = keyed.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], count.cast("long").alias("n_entities"))
-    return others.unionByName(done)
+    return others.union(done).toDF(*original, "n_entities")
