@@ -23,9 +23,9 @@ from loglantern.llm.pieces import Remembered, balanced
 # Words up to so many bytes share an array of trees.
 SHORT = 64
 # Trees worked on side by side.
-WIDTH = 1 << 15
+WIDTH = 1 << 13
 # Text bytes that are cut and encoded at a time.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _NONE = np.int64(1) << 24
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}
@@ -45,6 +45,11 @@ class Vocabulary:
         self.token_size = np.array([len(by_rank.get(rank, b"")) for rank in range(self.size)])
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self.token_bytes = np.frombuffer(b"".join(by_rank.get(rank, b"") for rank in range(self.size)), np.uint8)
+        self.pair_rank: dict[int, int] = {}
+        self.words = Remembered(self._encode_pieces, 150_000)
+
+    def _learn_pairs(self) -> None:
+        """The ranks of pairs, which only encoding needs."""
         pairs = [
             (self.ranks[token[:k]] * self.size + self.ranks[token[k:]], rank)
             for token, rank in self.ranks.items()
@@ -67,7 +72,6 @@ class Vocabulary:
             self.slot_rank[at[done]] = [self.pair_rank[k] for k in keys[done].tolist()]
             left = left[~placed]
             at[left] = (at[left] + 1) & self.mask
-        self.words = Remembered(self._encode_pieces, 500_000)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
@@ -190,6 +194,8 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as the bytes of 32-bit integers. A word that is a token is that token."""
+        if not self.pair_rank:
+            self._learn_pairs()
         out: list[bytes | None] = [self.whole.get(word) for word in words]
         classes: dict[int, list[int]] = {}
         for i, word in enumerate(words):
@@ -214,6 +220,8 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids, as the bytes of 32-bit integers."""
+        if not self.pair_rank:
+            self._learn_pairs()
         return map(b"".join, self.words.values(texts))
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
