@@ -31,8 +31,9 @@ def norm(v: Column | str) -> Column:
 def normalize(v: Column | str) -> Column:
     """Scale to unit length; store the result, so that a dot product later is the cosine."""
     col = _column(v)
-    length = norm(col) + F.lit(EPSILON)
-    return F.transform(col, lambda x: x.cast("double") / length)
+    # The length as a second array: inside the function it would be computed again for every entry.
+    length = F.array_repeat(norm(col) + F.lit(EPSILON), F.size(col))
+    return F.zip_with(col, length, lambda x, n: x.cast("double") / n)
 
 
 def to_float(v: Column | str) -> Column:

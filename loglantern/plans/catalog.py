@@ -447,7 +447,7 @@ def pending_messages(spark, sf):
 
 @_query
 def document_embeddings(spark, sf):
-    docs = readers.spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     encoder = embedding.lexical_encoder(embedding.fit_lexical(docs, "text"))
     done = embedding.embed(docs, encoder, "text")
     return done.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm("embedding"), 3).alias("norm"))
@@ -456,7 +456,7 @@ def document_embeddings(spark, sf):
 @_query
 def embed_backfill(spark, sf):
     """New rows of the vector table for all messages that have no vector yet."""
-    rows = as_logs(readers.spread_small(table(spark, sf, "events")))
+    rows = as_logs(table(spark, sf, "events"))
     done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("log_id"))
     encoder = embedding.lexical_encoder(embedding.fit_lexical(rows))
     filled = embedding.backfill_rows(rows, done, encoder)
@@ -566,7 +566,7 @@ def split_shares(spark, sf):
 def _trained(spark, sf):
     given = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     split = classification.stratified_split(given, "vec_id")
-    model = classification.train_classifier(split.filter("is_train"), max_iterations=20)
+    model = classification.train_classifier(split.filter("is_train"))
     return classification.predict(model, split.filter("not is_train"))
 
 

@@ -23,14 +23,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spreads a table of few files over all cores ahead of costly work on its rows, such as
-    encoding; a small file is one row group and would keep one core busy. A table of many files is
-    left as it lies."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """The month-partitioned log table."""
     months = T.StructType([*schemas.LOGS.fields, T.StructField("ym", T.IntegerType())])

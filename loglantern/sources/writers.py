@@ -84,10 +84,10 @@ def insert_embeddings(rows: DataFrame, path: str) -> int:
     return int(seen.get["rows"] or 0)
 
 
-def export_csv(report: DataFrame, folder: str, name: str, single_file: bool = True, epoch: int | None = None) -> str:
+def export_csv(report: DataFrame, folder: str, name: str, single_file: bool = False, epoch: int | None = None) -> str:
     """Writes ``<folder>/<name>_<epoch>.csv`` with a header; an empty report writes nothing.
 
-    ``single_file`` is for limited reports; pass False for a result that grows with the data.
+    ``single_file`` is for limited reports: one task writes all rows.
     """
     kept = report.persist()
     try:
