@@ -49,8 +49,9 @@ _ENDINGS = {
     "greek": {"f": "να", "m": "ρος", "n": "ς"},
 }
 _DIGITS = ("card", "ssn", "phone")
-# Group numbers would shift as patterns are joined, so groups that are referred to get names.
-ANY = "|".join(PATTERNS.values())
+# Group numbers would shift as patterns are joined, so groups that are referred to get names. No mention begins inside a
+# word of Latin letters or digits: said once, ahead of all patterns, this passes over most places of a text.
+ANY = f"(?<![A-Za-z0-9])(?:{'|'.join(PATTERNS.values())})"
 
 
 def _single(kind: str) -> str:
@@ -283,7 +284,11 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     replaced = found.join(made, (F.col("kind") == F.col("_k")) & (F.col("norm") == F.col("_m")), "left")
     shown = F.when(F.col("kind").isNull(), F.col("shown")).otherwise(_rendered(F.col("kind"), F.col("shown"), F.col("_surrogate")))
     pieces = replaced.select("_text", "_at", "_place", shown.alias("_new"))
-    whole = pieces.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("_at", "_place", "_new"))).alias("_all"))
+    placed = F.sort_array(F.collect_list(F.struct("_place", "_new")))
+    mended = pieces.groupBy("_text", "_at").agg(F.concat_ws("", F.transform(placed, lambda p: p["_new"])).alias("_new"))
+    # Mentions are numbered from 0, so that a mention's place in the list is its number.
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "_new")))
+    whole = mended.groupBy("_text").agg(F.transform(ordered, lambda p: p["_new"]).alias("_all"))
     # Texts without mentions aren't shuffled.
     has = _has_mention()
     keep = [F.col(f"`{c}`") for c in names]
@@ -291,7 +296,6 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     keyed = docs.filter(has).withColumn("_digest", F.md5(F.col("text").cast("binary"))).join(whole, F.col("_digest") == F.col("_text"))
     gaps = F.split("text", ANY, -1)
     count = F.size(gaps) - 1
-    new = lambda i: F.concat_ws("", F.transform(F.filter("_all", lambda p: p["_at"] == i), lambda p: p["_new"]))
-    text = F.concat_ws("", F.transform(gaps, lambda gap, i: F.concat(gap, F.when(i < count, new(i)).otherwise(F.lit("")))))
+    text = F.concat_ws("", F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get("_all", i), F.lit("")))))
     done = keyed.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], count.cast("long").alias("n_entities"))
     return others.union(done).toDF(*original, "n_entities")
