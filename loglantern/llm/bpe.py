@@ -240,27 +240,44 @@ def _vocabulary(path: str, pattern: str) -> Vocabulary:
     return _vocabularies[path, pattern]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
+def _ids(vocabulary: Vocabulary, texts: list[str]) -> pa.ListArray:
+    encoded = list(vocabulary.encode(texts))
+    offsets = np.zeros(len(encoded) + 1, np.int32)
+    np.cumsum([len(ids) // 4 for ids in encoded], out=offsets[1:])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+
+
+def _bytes(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    data, ends = vocabulary.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    offsets[1:] = np.concatenate([[0], ends])[np.cumsum(lengths)]
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", to: str = "ids", back: str | None = None) -> DataFrame:
     """``docs`` with its text column replaced by ``to``, the token ids of each whole text (``array<int>``).
 
     ``ranks`` is the path of a rank file that each worker can read. Each match of ``pattern`` is encoded on its own,
-    without special tokens. Null and empty texts have no ids. Other columns are kept as they are.
+    without special tokens. Null and empty texts have no ids. Other columns are kept as they are. ``back`` names a column
+    for the bytes that the ids decode to, made by the worker that encoded them: a task then needs one worker, not two.
     """
     names = [c for c in docs.columns if c != text]
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(text))
     schema = T.StructType([*(source.schema[c] for c in names), T.StructField(to, T.ArrayType(T.IntegerType()))])
+    if back:
+        schema.add(back, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks, pattern)
         for batch in batches:
             column = batch.column(len(names))
             for first, last in balanced(pc.binary_length(column).to_pylist(), BATCH_BYTES):
-                encoded = list(vocabulary.encode(column.slice(first, last - first).to_pylist()))
-                offsets = np.zeros(len(encoded) + 1, np.int32)
-                np.cumsum([len(ids) // 4 for ids in encoded], out=offsets[1:])
-                flat = np.frombuffer(b"".join(encoded), np.int32)
                 arrays = [batch.column(i).slice(first, last - first) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*names, to])
+                arrays.append(_ids(vocabulary, column.slice(first, last - first).to_pylist()))
+                if back:
+                    arrays.append(_bytes(vocabulary, arrays[-1]))
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
@@ -276,13 +293,8 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids", to: s
             column = batch.column(names.index(ids))
             lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
             for first, last in balanced((4 * lengths).tolist(), BATCH_BYTES):
-                flat = column.slice(first, last - first).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, ends = vocabulary.decode(flat)
-                offsets = np.zeros(last - first + 1, np.int32)
-                offsets[1:] = np.concatenate([[0], ends])[np.cumsum(lengths[first:last])]
-                decoded = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
                 arrays = [batch.column(i).slice(first, last - first) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*arrays, decoded], names=[*names, to])
+                yield pa.RecordBatch.from_arrays([*arrays, _bytes(vocabulary, column.slice(first, last - first))], names=[*names, to])
 
     return encoded.mapInArrow(run, schema)
 

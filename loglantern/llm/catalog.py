@@ -19,8 +19,7 @@ COUNTED = "byte_bpe_50k.json"
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    return bpe.digests(bpe.decode(encoded, ranks, pattern))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, back="decoded"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
