@@ -5,8 +5,9 @@
    and 2 (in at most one of ``RARE``). Only frequent shingles need a count of their own: hashed counts of all shingles say
    which can be frequent, and those are counted exactly in a second pass.
 3. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples; texts that agree in a band are candidates.
-4. Equal texts count as one. In each bucket all are verified against one centre, its least text. Then the texts of a
-   centre that are still apart are compared in blocks; pairs whose samples agree too rarely are left out, and so are
+4. Equal texts count as one. In each bucket all are verified against one centre, its least text: first each text
+   against the centre it shares most bands with, then, where a centre's texts are still apart, against its others too.
+   Then the texts of a centre that are apart even so are compared in blocks; pairs whose samples agree too rarely are left out, and so are
    those that the distances to their centre tell apart (1 - similarity is a metric). The others are verified exactly
    where they meet, and only links between what is still apart leave the task.
 5. Connected texts form a group; its least ``doc_id`` names it.
@@ -338,6 +339,16 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(links.select(F.col("_a").alias("_node"), F.col("_a").alias("_root")).distinct())
 
 
+def _apart(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs ``_a``, ``_b`` of the centres ``_a`` that don't lie in one component with all their texts."""
+    of = roots.select(F.col("_node").alias("_k"), "_root")
+    ends = stars.select("_a", "_b").join(of, F.col("_b") == F.col("_k"), "left").select("_a", "_b", F.coalesce("_root", "_b").alias("_rb"))
+    spread = ends.groupBy("_a").agg(F.min("_rb").alias("_low"), F.max("_rb").alias("_high"))
+    own = spread.join(of, F.col("_a") == F.col("_k"), "left").withColumn("_ra", F.coalesce("_root", "_a"))
+    open_ = own.filter("_low < _high OR _low <> _ra").select("_a")
+    return stars.join(open_, "_a", "left_semi").select("_a", "_b")
+
+
 def _more_links(stars: DataFrame, roots: DataFrame, sampled: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
     """Links (``_a``, ``_b``) between texts of one centre that the centre itself doesn't connect.
 
@@ -414,10 +425,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     banded = nodes.select("_node", F.explode("_bands").alias("_bucket"))
     shared = banded.groupBy("_bucket").agg(F.min("_node").alias("_centre"), F.count("*").alias("_size")).filter("_size > 1")
     members = banded.join(shared.select(F.col("_bucket").alias("_k"), "_centre"), F.col("_bucket") == F.col("_k")).filter("_node <> _centre")
-    stars = written(members.select(F.col("_centre").alias("_a"), F.col("_node").alias("_b")).distinct(), "stars")
+    stars = members.groupBy(F.col("_centre").alias("_a"), F.col("_node").alias("_b")).agg(F.count("*").alias("_bands"))
+    stars = written(stars, "stars")
     wanted = stars.select(F.col("_a").alias("_node")).union(stars.select(F.col("_b").alias("_node"))).distinct()
     vectors = written(_vectors(wanted, source.withColumn("_node", _digest("text")), weights), "vectors")
-    stars = _measured(stars, vectors)
+    closest = stars.groupBy("_b").agg(F.max(F.struct("_bands", "_a")).alias("_best")).select("_best._a", "_b")
+    measured = _measured(closest, vectors)
+    links = measured.filter(F.col("_j") >= similarity).select("_a", "_b")
+    roots = components(links)
+    stars = measured.union(_measured(_apart(stars, roots).join(measured, ["_a", "_b"], "left_anti"), vectors))
     links = stars.filter(F.col("_j") >= similarity).select("_a", "_b")
     roots = components(links)
     more = written(_more_links(stars, roots, nodes.select("_node", "_sample"), vectors, similarity), "more")
