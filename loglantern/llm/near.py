@@ -316,12 +316,10 @@ def components(links: DataFrame) -> DataFrame:
     """``_node`` and ``_root`` (the least node of its component) of all nodes that have a link (``_a``, ``_b``).
 
     Rounds of large and small stars, each a grouping with partial minima; the number of rounds grows with the logarithm
-    of the longest chain. Each round is stored and read back.
+    of the longest chain. Each round is stored and read back, until all links are stars.
     """
     links = written(links.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
-    if links.isEmpty():
-        return links.select(F.col("_a").alias("_node"), F.col("_b").alias("_root"))
-    while True:
+    while not _are_stars(links):
         # Large star: each node sends its larger neighbours to its least neighbour.
         both = links.select("_a", "_b").union(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         least = both.groupBy("_a").agg(F.least(F.min("_b"), F.col("_a")).alias("_m")).withColumnRenamed("_a", "_n")
@@ -331,14 +329,30 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("_b").agg(F.min("_a").alias("_m")).withColumnRenamed("_b", "_n")
         joined = large.join(low, F.col("_b") == F.col("_n"))
         small = joined.select(F.col("_m").alias("_a"), F.col("_a").alias("_b")).filter("_a < _b").union(low.select(F.col("_m").alias("_a"), F.col("_n").alias("_b")))
-        after = written(small.distinct(), "links")
-        if not after.exceptAll(links).limit(1).count() and after.count() == links.count():
-            break
-        links = after
+        links = written(small.distinct(), "links")
     roots = links.select(F.col("_b").alias("_node"), F.col("_a").alias("_root"))
     return roots.union(links.select(F.col("_a").alias("_node"), F.col("_a").alias("_root")).distinct())
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node is either a root or below one root alone."""
+    ends = links.select(F.col("_a").alias("_n"), F.lit(0).alias("_below")).union(links.select("_b", F.lit(1)))
+    return ends.groupBy("_n").agg(F.min("_below").alias("_low"), F.sum("_below").alias("_roots")).filter("_roots > 1 OR (_low = 0 AND _roots > 0)").isEmpty()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (as ``components`` gives them) that more links make of those there are."""
+    for end in ("_a", "_b"):
+        of = roots.select(F.col("_node").alias("_k"), "_root")
+        links = links.join(of, F.col(end) == F.col("_k"), "left").withColumn(end, F.coalesce("_root", end)).select("_a", "_b")
+    upper = components(links.filter("_a <> _b"))
+    if upper.isEmpty():
+        return roots
+    above = upper.select(F.col("_node").alias("_k"), F.col("_root").alias("_top"))
+    known = roots.join(above, F.col("_root") == F.col("_k"), "left").select("_node", F.coalesce("_top", "_root").alias("_root"))
+    return written(known.union(upper.join(roots, "_node", "left_anti").select("_node", "_root")), "roots")
+
+
 def _apart(stars: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs ``_a``, ``_b`` of the centres ``_a`` that don't lie in one component with all their texts."""
     of = roots.select(F.col("_node").alias("_k"), "_root")
@@ -433,12 +447,12 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     measured = _measured(closest, vectors)
     links = measured.filter(F.col("_j") >= similarity).select("_a", "_b")
     roots = components(links)
-    stars = measured.union(_measured(_apart(stars, roots).join(measured, ["_a", "_b"], "left_anti"), vectors))
-    links = stars.filter(F.col("_j") >= similarity).select("_a", "_b")
-    roots = components(links)
+    others = _measured(_apart(stars, roots).join(measured, ["_a", "_b"], "left_anti"), vectors)
+    roots = _joined(roots, others.filter(F.col("_j") >= similarity).select("_a", "_b"))
+    stars = measured.union(others)
     more = written(_more_links(stars, roots, nodes.select("_node", "_sample"), vectors, similarity), "more")
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = _joined(roots, more)
     placed = signed.select("doc_id", "_node").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     placed = written(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id"), F.col("_row"))).alias("_first")
