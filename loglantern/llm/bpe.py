@@ -23,9 +23,9 @@ from loglantern.llm.pieces import Remembered, balanced
 # Words up to so many bytes share an array of trees.
 SHORT = 64
 # Trees worked on side by side.
-WIDTH = 1 << 13
+WIDTH = 1 << 12
 # Text bytes that are cut and encoded at a time.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 _NONE = np.int64(1) << 24
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}
@@ -46,7 +46,7 @@ class Vocabulary:
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self.token_bytes = np.frombuffer(b"".join(by_rank.get(rank, b"") for rank in range(self.size)), np.uint8)
         self.pair_rank: dict[int, int] = {}
-        self.words = Remembered(self._encode_pieces, 150_000)
+        self.words = Remembered(self._encode_pieces, 100_000)
 
     def _learn_pairs(self) -> None:
         """The ranks of pairs, which only encoding needs."""
@@ -59,7 +59,7 @@ class Vocabulary:
         self.pair_rank = dict(pairs)
         keys = np.array(sorted(self.pair_rank), np.int64)
         # Open addressing: two gathers find most pairs.
-        self.mask = (1 << int(np.ceil(np.log2(4 * max(len(keys), 1))))) - 1
+        self.mask = (1 << int(np.ceil(np.log2(2 * max(len(keys), 1))))) - 1
         self.slots = np.full(self.mask + 1, -1, np.int64)
         self.slot_rank = np.full(self.mask + 1, _NONE)
         at, left, self.probes = self._home(keys), np.arange(len(keys)), 0

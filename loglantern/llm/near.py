@@ -124,25 +124,19 @@ def document_frequencies(docs: DataFrame, rare: float = RARE) -> Weights:
                 [pa.array(part.astype(np.int32)), pa.array([blocks[i].astype("<u4").tobytes() for i in part], pa.binary())], names=["block", "counts"]
             )
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
+    n = docs.count()
+    least = n / rare
+
+    def high_in(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.int64)
         for counts in group["counts"]:
             total += np.frombuffer(counts, "<u4")
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
+        return pd.DataFrame({"bucket": np.flatnonzero(total > least) + int(group["block"].iloc[0]) * BLOCK})
 
-    n = docs.count()
-    least = n / rare
     partial = source.mapInArrow(count, "block int, counts binary")
-    blocks = partial.groupBy("block").applyInPandas(add, "block int, counts binary")
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                high = np.flatnonzero(np.frombuffer(counts, "<i8") > least)
-                yield pa.RecordBatch.from_arrays([pa.array(high + block * BLOCK)], names=["bucket"])
-
+    buckets = partial.groupBy("block").applyInPandas(high_in, "bucket long")
     high = np.zeros(BUCKETS, bool)
-    high[blocks.mapInArrow(frequent, "bucket long").toPandas()["bucket"].to_numpy(np.int64)] = True
+    high[buckets.toPandas()["bucket"].to_numpy(np.int64)] = True
     if not high.any():
         return Weights(np.zeros(0, np.uint64), np.zeros(0))
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(high))
