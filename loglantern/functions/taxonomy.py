@@ -114,15 +114,21 @@ def flags(text: Column | str, lists: WordLists, prefix: str) -> dict[str, Column
     return {f"{prefix}{name}": has_any(text, words) for name, words in lists.items()}
 
 
+def stored_flag(df: DataFrame, name: str, words: Sequence[str], prefix: str) -> bool:
+    """Whether the table holds the flag of just these words: ingest makes flags from the fixed lists alone."""
+    fixed = {"is_": CATEGORY_WORDS, "est_": SEVERITY_WORDS, "find_": SEARCH_WORDS}.get(prefix, {})
+    return f"{prefix}{name}" in df.columns and name in fixed and tuple(fixed[name]) == tuple(words)
+
+
 def explode_matches(df: DataFrame, lists: WordLists, output: str, text: str = "message", prefix: str = "is_") -> DataFrame:
     """One row per (row, list with a word in the text).
 
     The flags are columns of their own: that way the text is lower-cased once per row and the tests
     are compiled, where an array built from the tests directly took three times as long. Flags that
-    the table holds already (``prefix`` + name) are taken as they are.
+    the table holds already (``prefix`` + name) are taken as they are, unless the words are others.
     """
     flags = {name: f"{prefix}{name}" for name in lists}
-    missing = {flag: has_any(text, lists[name]) for name, flag in flags.items() if flag not in df.columns}
+    missing = {flag: has_any(text, lists[name]) for name, flag in flags.items() if not stored_flag(df, name, lists[name], prefix)}
     flagged = df.withColumns(missing) if missing else df
     names = F.array(*[F.when(F.col(flag), F.lit(name)) for name, flag in flags.items()])
     return flagged.withColumn(output, F.explode(names)).drop(*flags.values()).filter(F.col(output).isNotNull())

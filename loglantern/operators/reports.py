@@ -167,9 +167,9 @@ def severity_estimate(logs: DataFrame, lists: taxonomy.WordLists = taxonomy.SEVE
 
 
 def _flags(logs: DataFrame, lists: taxonomy.WordLists, prefix: str = "is_") -> dict[str, Column]:
-    """Predicates per list; flags that ingest has stored already are read instead of computed."""
+    """Predicates per list; flags that ingest has stored for the same words are read instead of computed."""
     return {
-        name: F.col(f"{prefix}{name}") if f"{prefix}{name}" in logs.columns else taxonomy.has_any("message", words)
+        name: F.col(f"{prefix}{name}") if taxonomy.stored_flag(logs, name, words, prefix) else taxonomy.has_any("message", words)
         for name, words in lists.items()
     }
 

@@ -37,8 +37,8 @@ def route_questions(questions: DataFrame, query: str = "query") -> DataFrame:
 
 def keyword_candidates(logs: DataFrame, lists: taxonomy.WordLists = taxonomy.SEARCH_WORDS) -> DataFrame:
     """Long, noise-free rows with the search categories whose words they hold. Where ingest has
-    stored ``find_<category>`` flags, they reach the scan in place of the text tests."""
-    stored = [f"find_{name}" for name in lists if f"find_{name}" in logs.columns]
+    stored ``find_<category>`` flags of the same words, they reach the scan in place of the text tests."""
+    stored = [f"find_{name}" for name, words in lists.items() if taxonomy.stored_flag(logs, name, words, "find_")]
     if len(stored) == len(lists):
         logs = logs.filter(reduce(or_, (F.col(flag) for flag in stored)))
     useful = logs.filter(text.longer_than("message") & text.without_any("message", text.NOISE_KEYWORD))

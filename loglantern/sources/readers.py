@@ -11,9 +11,6 @@ from ..functions import taxonomy, text
 from ..functions.times import Instant, instant
 from ..operators.filters import recent
 
-# Longest log line taken, in bytes. Fixed value.
-MAX_LINE_BYTES = 1_048_576
-
 _OS_METADATA = ("subsystem", "category", "process", "thread", "eventType", "messageType")
 
 

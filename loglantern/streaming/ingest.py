@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.times import Instant, instant
 from ..operators.filters import VIEW_COLUMNS, has_level
 from ..functions.text import year_month
-from ..sources.readers import MAX_LINE_BYTES
 from ..sources.writers import COMPRESSION
 
 # Time between collections, in seconds. Fixed value.
@@ -27,11 +26,11 @@ def read_lines(
     path: str,
     start: Instant = None,
     host: str = "",
-    max_line_bytes: int = MAX_LINE_BYTES,
+    max_line_bytes: int | None = None,
     max_files: int | None = None,
     pattern: str | None = None,
 ) -> DataFrame:
-    """Raw log rows from the files of a folder, over-long lines left out.
+    """Raw log rows from the files of a folder; with ``max_line_bytes``, without the lines beyond it.
 
     ``start`` begins "at the end": files last changed before it are passed over.
     """
@@ -43,7 +42,9 @@ def read_lines(
     lines = reader.text(path).select("value", "_metadata.file_path", "_metadata.file_modification_time")
     if start is not None:
         lines = lines.filter(F.col("file_modification_time") >= instant(start, T.TimestampType()))
-    return lines.filter(F.octet_length("value") <= max_line_bytes).select(
+    if max_line_bytes is not None:
+        lines = lines.filter(F.octet_length("value") <= max_line_bytes)
+    return lines.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"),
         F.lit(host).alias("host"),
         F.col("file_path").alias("file"),

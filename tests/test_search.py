@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglantern.functions import taxonomy
-from loglantern.operators import embedding, search
-from loglantern.plans import jobs
+from loglantern.operators import embedding, reports, search
+from loglantern.plans import jobs, tables
+from loglantern.sources import writers
 
 START = dt.datetime(2024, 1, 1)
 PAD = " and a long enough tail so that the row passes the eighty byte limit of the search"
@@ -135,3 +136,13 @@ def test_questions_are_encoded_like_the_logs(spark):
     found = jobs.answer(asked, logs, store, encoder, dim=256, threshold=0.1).orderBy("qid", "position").collect()
     best = {r.qid: r.message for r in reversed(found)}
     assert best[1].startswith("printer jam") and best[2].startswith("login by root")
+
+
+def test_stored_flags_serve_only_their_own_words(spark, sf_dir):
+    plain = tables.logs(spark, sf_dir)
+    stored = writers.with_ingest_columns(plain)
+    words = {"security": ("thermal sensor",)}
+    for table in (plain, stored):
+        assert reports.insights_summary(table, lists={"error": ("no such word",)}).first().errors == 0
+    found = [search.keyword_candidates(table, words).count() for table in (plain, stored)]
+    assert found[0] == found[1]
