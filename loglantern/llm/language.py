@@ -155,13 +155,16 @@ def samples(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CH
     gives. The driver gets ``rows * chars`` characters a language at most.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = usable.select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("_hash"))
+    hashed = usable.select("lang", F.xxhash64("text", F.lit("sample")).alias("_hash"), "text")
+    # Equal texts merge ahead of the ranks, so copies use up none; the limit by rank is applied in each task.
+    order = Window.partitionBy("_lang").orderBy("_least")
+    different = hashed.select(F.col("lang").alias("_lang"), F.col("_hash").alias("_least")).distinct()
+    least = different.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= rows).drop("_rank")
     room = F.greatest(F.char_length("text") - F.lit(chars), F.lit(0)) + 1
     passage = F.substring("text", (F.pmod(F.col("_hash"), room) + 1).cast("int"), F.lit(chars))
-    # The limit by rank is applied in each task ahead of the shuffle.
-    order = Window.partitionBy("lang").orderBy("_hash")
-    ranked = hashed.select("lang", "_hash", passage.alias("_passage")).withColumn("_rank", F.rank().over(order))
-    chosen = ranked.filter(F.col("_rank") <= rows).select("lang", "_hash", "_passage").distinct()
+    # Copies of the chosen texts merge as partial groups.
+    of_least = hashed.join(F.broadcast(least), (F.col("lang") == F.col("_lang")) & (F.col("_hash") == F.col("_least")))
+    chosen = of_least.select("lang", "_hash", passage.alias("_passage")).distinct()
     out: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "_hash").collect():
         out.setdefault(row["lang"], []).append(row["_passage"])

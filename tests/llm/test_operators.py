@@ -274,6 +274,16 @@ def test_language(spark, docs, empty, sf_dir):
     assert language.identify_documents(empty).count() == 0
 
 
+def test_language_sample_counts_copies_once(spark):
+    rng = random.Random(7)
+    texts = [_sentence(rng, 12) for _ in range(6)]
+    copies = [(x, "aa") for x in texts for _ in range(200)] + [(x, "bb") for x in texts[:2]] + [(None, "aa"), ("null", None)]
+    found = language.samples(spark.createDataFrame(copies, "text string, lang string").repartition(3), chars=1000)
+    assert {k: sorted(v) for k, v in found.items()} == {"aa": sorted(texts), "bb": sorted(texts[:2])}
+    fewer = language.samples(spark.createDataFrame(copies, "text string, lang string"), rows=4, chars=1000)
+    assert len(fewer["aa"]) == 4 and set(fewer["aa"]) < set(texts)
+
+
 def test_rule_statistics(docs, empty, rows):
     want = []
     for i, x, *_ in rows:
