@@ -10,6 +10,8 @@ judged on the input. All documents together have one suffix array; it is built i
 3. Stretches are dealt by their hash. A task puts their suffixes in order, by the first ``LENGTH`` bytes and then by
    document. The longest previous factor of a suffix, as far as it matters, follows from its previous smaller position
    in that order: it is at least ``LENGTH`` if the head of its run of equal strings is an earlier document.
+   A hash with more than ``HOT`` stretches is not dealt as one: where texts are read, strings that an earlier document of
+   the same slice has are told at once, and the others go on as single strings, dealt by a hash of their own.
 4. The spans that are covered are cut out of the texts.
 """
 
@@ -33,6 +35,8 @@ GRAM = 24
 BITMAP_BITS = 27
 # Text bytes whose stretches one group takes.
 PART_BYTES = 4 << 20
+# Stretches of one hash that one group takes; a passage in more texts is dealt by its strings.
+HOT = 10_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -87,8 +91,12 @@ def _groups(order: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield int(part[members[0]]), members
 
 
-def shared_hashes(source: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of the hashes that occur in different texts, by their first ``BITMAP_BITS`` bits."""
+def shared_hashes(source: DataFrame, bits: int, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of the hashes that occur in different texts, by their first ``BITMAP_BITS`` bits, and the hot hashes.
+
+    Hot are those that more than ``hot`` texts have; of these the first 56 bits, in order. A batch sends two texts of a hash
+    at most, and the count of the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -101,17 +109,30 @@ def shared_hashes(source: DataFrame, bits: int) -> np.ndarray:
             if not hashes:
                 continue
             least, tag = np.concatenate(hashes), np.concatenate(tags).astype(np.uint64)
-            order = np.argsort(least)
+            order = np.lexsort((tag, least))
             twin = np.zeros(len(order), bool)  # the same hash again in the same text
             twin[1:] = (least[order][1:] == least[order][:-1]) & (tag[order][1:] == tag[order][:-1])
             order = order[~twin]
+            ordered = least[order]
+            third = np.zeros(len(order), bool)
+            third[2:] = ordered[2:] == ordered[:-2]
+            many, others = np.unique(ordered[third], return_counts=True)
+            parts, counts = [], []
+            for part, members in _groups(np.arange(len(many)), (many >> np.uint64(64 - bits)).astype(np.int64)):
+                counts.append((many[members] >> np.uint64(8)).astype("<u8").tobytes() + others[members].astype("<i8").tobytes())
+                parts.append(part)
+            if parts:
+                sent = [pa.array(parts, pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(sent, names=["part", "entries", "others"])
+            order = order[~third]
             parts, payloads = [], []
             for part, members in _groups(order, (least >> np.uint64(64 - bits)).astype(np.int64)):
                 short = (least[members] >> np.uint64(8)) & np.uint64(0xFFFFFFFFFFFF)
                 payloads.append(short.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes() + tag[members].astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes())
                 parts.append(part)
             for k in range(0, len(parts), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(parts[k : k + 512], pa.int64()), pa.array(payloads[k : k + 512], pa.binary())], names=["part", "entries"])
+                sent = [pa.array(parts[k : k + 512], pa.int64()), pa.array(payloads[k : k + 512], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*sent, pa.nulls(len(sent[0]), pa.binary())], names=["part", "entries", "others"])
 
     def wide(raw: np.ndarray) -> np.ndarray:
         out = np.zeros((len(raw) // 6, 4), "<u2")
@@ -122,7 +143,7 @@ def shared_hashes(source: DataFrame, bits: int) -> np.ndarray:
 
     def shared(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iloc[0])
-        halves = [np.frombuffer(e, np.uint8).reshape(2, -1) for e in group["entries"]]
+        halves = [np.frombuffer(e, np.uint8).reshape(2, -1) for e in group["entries"] if e is not None]
         least, tag = wide(np.concatenate([h[0] for h in halves])), wide(np.concatenate([h[1] for h in halves]))
         order = np.lexsort((tag, least))
         least, tag = least[order], tag[order]
@@ -131,14 +152,22 @@ def shared_hashes(source: DataFrame, bits: int) -> np.ndarray:
         full = (np.uint64(part) << np.uint64(64 - bits)) | (least[1:][differ] << np.uint64(8))
         flags = np.zeros(places, bool)
         flags[(full >> np.uint64(64 - BITMAP_BITS)).astype(np.int64) & (places - 1)] = True
-        return pd.DataFrame({"part": [part], "flags": [np.packbits(flags).tobytes()]})
-
-    found = source.mapInArrow(run, "part long, entries binary").groupBy("part").applyInPandas(shared, "part long, flags binary").toPandas()
+        # Texts of each hash: those that were sent, and those that were only counted.
+        sums = [np.frombuffer(e, "<u8").reshape(2, -1) for e in group["others"] if e is not None]
+        sent = (np.uint64(part) << np.uint64(56 - bits)) | least
+        counted = np.concatenate([sent, *(x[0] for x in sums)])
+        counts = np.concatenate([np.ones(len(sent), np.int64), *(x[1].astype(np.int64) for x in sums)])
+        hashes, place = np.unique(counted, return_inverse=True)
+        hot_ = hashes[np.bincount(place, counts, len(hashes)) > hot]
+        return pd.DataFrame({"part": [part], "flags": [np.packbits(flags).tobytes()], "hot": [hot_.astype("<u8").tobytes()]})
+
+    sent = source.mapInArrow(run, "part long, entries binary, others binary")
+    found = sent.groupBy("part").applyInPandas(shared, "part long, flags binary, hot binary").toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     step = places // 8
     for part, flags in zip(found["part"], found["flags"]):
         bitmap[part * step : (part + 1) * step] = np.frombuffer(flags, np.uint8)
-    return bitmap
+    return bitmap, np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(h, "<u8") for h in found["hot"])]))
 
 
 def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -198,9 +227,35 @@ def _earlier(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, ids: np.nda
     return owner[late[start]], place[late[start]], place[late[end]]
 
 
-def covered(source: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
-    """``_node``, ``_id``, ``_from``, ``_to``: bytes of a text that strings of earlier documents cover. Ranges may overlap."""
-    shared = source.sparkSession.sparkContext.broadcast(bitmap)
+def _single(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`_earlier` finds among these stretches, and of all other strings stretch, place in it and hash."""
+    late = _earlier(data, begin, sizes, ids)
+    count = sizes - LENGTH + 1
+    before = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(sizes)), count)
+    place = np.arange(len(owner)) - before[owner]
+    steps = np.zeros(len(owner) + 1, np.int64)
+    np.add.at(steps, before[late[0]] + late[1], 1)
+    np.add.at(steps, before[late[0]] + late[2] + 1, -1)
+    left = np.cumsum(steps[:-1]) == 0
+    owner, place = owner[left], place[left]
+    start = begin[owner] + place
+    return late, owner, place, texts.mix(texts.span_hash(texts.prefix_hash(data), start, start + LENGTH))
+
+
+def dealt(source: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray) -> DataFrame:
+    """``part`` with packed ``stretches`` that have to be compared, or with ``ranges`` that are known to be covered."""
+    shared = source.sparkSession.sparkContext.broadcast((bitmap, hot))
+
+    def ranges(node: np.ndarray, *fields: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Ranges that are known already, dealt by text."""
+        part = (texts.mix(node.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        parts, payloads = [], []
+        for p, m in _groups(np.argsort(part, kind="stable"), part):
+            parts.append(p)
+            payloads.append(b"".join(f[m].astype("<i8").tobytes() for f in (node, *fields)))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array(payloads, pa.binary())], names=["part", "stretches", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -208,8 +263,17 @@ def covered(source: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
             ids, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, _, data, offsets in texts.byte_slices(batch.column(2)):
                 row, least, start, end = stretches(data, offsets)
-                use = _has(shared.value, least)
+                use = _has(shared.value[0], least)
                 row, least, start, end = row[use], least[use], start[use], end[use]
+                split = np.isin(least >> np.uint64(8), shared.value[1]) if len(shared.value[1]) else np.zeros(len(least), bool)
+                if split.any():
+                    r, at = row[split], start[split]
+                    (of, a, b), owner, place, hashes = _single(data, at, end[split] - at, ids[first + r])
+                    at -= offsets[r]
+                    yield from ranges(nodes[first + r[of]], ids[first + r[of]], at[of] + a, at[of] + b + LENGTH)
+                    begin = start[split][owner] + place
+                    row, least = np.concatenate([row[~split], r[owner]]), np.concatenate([least[~split], hashes])
+                    start, end = np.concatenate([start[~split], begin]), np.concatenate([end[~split], begin + LENGTH])
                 parts, payloads = [], []
                 for part, m in _groups(np.argsort(least), (least >> np.uint64(64 - bits)).astype(np.int64)):
                     fields = [least[m].view(np.int64), nodes[first + row[m]], ids[first + row[m]], start[m] - offsets[row[m]], end[m] - start[m]]
@@ -218,16 +282,27 @@ def covered(source: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
                     payloads.append(np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True))
                     parts.append(part)
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(payloads, pa.binary())], names=["part", "stretches"])
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(len(parts), pa.binary())], names=["part", "stretches", "ranges"])
+
+    return source.mapInArrow(run, "part long, stretches binary, ranges binary")
+
 
-    def unpack(payload: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-        raw = pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), "zstd", asbytes=True)
-        n = int.from_bytes(raw[:8], "little")
-        fields = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 + 8 * n * i).reshape(8, n).T).view("<i8").ravel() for i in range(5)]
-        return fields, np.frombuffer(raw, np.uint8, offset=8 + 40 * n)
+def _unpack(payload: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), "zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    fields = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 + 8 * n * i).reshape(8, n).T).view("<i8").ravel() for i in range(5)]
+    return fields, np.frombuffer(raw, np.uint8, offset=8 + 40 * n)
+
+
+def covered(source: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray) -> DataFrame:
+    """``_node``, ``_id``, ``_from``, ``_to``: bytes of a text that strings of earlier documents cover. Ranges may overlap."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        pieces = [unpack(p) for p in group["stretches"]]
+        known = [np.frombuffer(r, "<i8").reshape(4, -1) for r in group["ranges"] if r is not None]
+        told = pd.DataFrame(dict(zip(("_node", "_id", "_from", "_to"), np.concatenate([np.zeros((4, 0), np.int64), *known], axis=1))))
+        pieces = [_unpack(p) for p in group["stretches"] if p is not None]
+        if not pieces:
+            return told
         least, node, ids, start, size = (np.concatenate([p[0][i] for p in pieces]) for i in range(5))
         data = np.concatenate([p[1] for p in pieces])
         begin = np.cumsum(size) - size
@@ -237,13 +312,12 @@ def covered(source: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
         use = np.flatnonzero(low != high)
         of, a, b = _earlier(data, begin[use], size[use], ids[use])
         at = use[of]
-        return pd.DataFrame({"_node": node[at], "_id": ids[at], "_from": start[at] + a, "_to": start[at] + b + LENGTH})
+        return pd.concat([told, pd.DataFrame({"_node": node[at], "_id": ids[at], "_from": start[at] + a, "_to": start[at] + b + LENGTH})])
 
-    dealt = source.mapInArrow(run, "part long, stretches binary")
-    return dealt.groupBy("part").applyInPandas(compare, "_node long, _id long, _from long, _to long")
+    return dealt(source, bitmap, bits, hot).groupBy("part").applyInPandas(compare, "_node long, _id long, _from long, _to long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``_node``, ``_id`` and ``_spans``, the maximal runs of bytes to remove, of texts that have any.
 
     Copies of a text are not spelled out: a copy with a larger id goes as a whole, see :func:`without_repeats`.
@@ -251,7 +325,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     source = _source(docs)
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(total, 1) / PART_BYTES)), 8), BITMAP_BITS - 3)
-    ranges = covered(source, shared_hashes(source, bits), bits)
+    bitmap, crowded = shared_hashes(source, bits, hot)
+    ranges = covered(source, bitmap, bits, crowded)
     merged = ranges.groupBy("_node", "_id").agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_ranges"))
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,13 +344,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return merged.mapInArrow(merge, "_node long, _id long, _spans array<long>")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row of ``docs``: doc_id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``spans`` (from, to, from, to, ...).
 
     Null counts as the empty text; texts under ``LENGTH`` bytes lose nothing. A null id comes after all others. Rows that
     share an id are no earlier than each other.
     """
-    spans = written(repeated_spans(docs.select("doc_id", "text")), "spans")
+    spans = written(repeated_spans(docs.select("doc_id", "text"), hot), "spans")
     source = docs.select("doc_id", "text")
     keyed = _source(source).withColumn("doc_id", F.when(F.col("_id") == int(_LAST), F.lit(None)).otherwise(F.col("_id")))
     # All rows without their text; the text only meets the spans of texts that have some.

@@ -197,6 +197,27 @@ def test_repeats_match_all_strings(docs, empty, rows):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_hot_passages_are_dealt_by_their_strings(spark, docs):
+    rng = random.Random(11)
+    shared = _sentence(rng, 30)
+    texts = [_sentence(rng, 12) + (" " + shared + " " if i % 3 == 0 else " ") + _sentence(rng, 12) for i in range(600)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    source = repeats._source(df)
+    largest = []
+    for hot in (20, 10**9):
+        bitmap, crowded = repeats.shared_hashes(source, 8, hot)
+        sizes = collections.Counter()
+        for r in repeats.dealt(source, bitmap, 8, crowded).collect():
+            sizes[r.part] += len(repeats._unpack(bytes(r.stretches))[1]) if r.stretches is not None else len(r.ranges)
+        largest.append(max(sizes.values()))
+    assert largest[0] < largest[1] / 2
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for table in (df, docs):
+        want = _tuples(repeats.without_repeats(table, 10**9), *names)
+        assert _tuples(repeats.without_repeats(table, 1), *names) == want
+    assert sum(r.n_removed > 0 for r in repeats.without_repeats(df, 20).collect()) == 199
+
+
 @pytest.mark.parametrize("leaf_bytes", [exact.LEAF_BYTES, 100])
 def test_exact_groups(docs, rows, leaf_bytes):
     lower = lambda x: (x or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
