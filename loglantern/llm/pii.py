@@ -4,7 +4,8 @@ Mentions are found by patterns and reduced to entities: the same number written
 is one entity. Each different entity gets a surrogate from a keyed digest: of the same type, length, case, separators and
 script, for names of the same gender. Surrogates are checked against each other and against all entities of the table;
 those that collide are made anew until none does. So different entities stay different, and one entity has one
-surrogate in all texts.
+surrogate in all texts. A name that a text has after a title goes wherever else the text has it as a whole word with a
+capital, too.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ KEY = "surrogates"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
-    "card": r"(?<![\w.+-])(?:[3-6]\d{3}(?<a>[ -]?)\d{4}\k<a>\d{4}\k<a>\d{4}|3[47]\d{2}(?<b>[ -]?)\d{6}\k<b>\d{5})(?![\w-])",
+    "card": r"(?<![\w.+-])(?:(?:[3-6]\d{3}|2(?:22[1-9]|2[3-9]\d|[3-6]\d{2}|7[01]\d|720))(?<a>[ -]?)\d{4}\k<a>\d{4}\k<a>\d{4}|3[47]\d{2}(?<b>[ -]?)\d{6}\k<b>\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}(?:[ .-]?\(\d{2,4}\))?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?<c>[ .-])\d{3}\k<c>\d{4})(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
-    "secret": r"(?<!\w)(?:password|passwd|secret|token|api_key|apikey)[ ]?[=:][ ]?[\x22']?[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<!\w)(?i:password|passwd|secret|token|api_key|apikey)[ ]?[=:][ ]?[\x22']?[A-Za-z0-9+/_-]{8,}",
     "name": (
         r"(?<![\p{L}\p{N}_])(?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Srta)\.|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|господин|госпожа|Господин|Госпожа"
         r"|κύριος|κυρία|Κύριος|Κυρία) \p{Lu}[\p{L}]{1,30}(?: \p{Lu}[\p{L}]{1,30})?(?![\p{L}\p{N}_])"
@@ -36,6 +37,7 @@ _MALE = r"^(?:Mr|Sr|Herr|Monsieur|Señor|[гГ]осподин|[κΚ]ύριος)(
 _FEMALE = r"^(?:Mrs|Ms|Sra|Srta|Frau|Mme|Mlle|Madame|Señora|[гГ]оспожа|[κΚ]υρία)(?![\p{L}])"
 _SECRET = r"^([A-Za-z_]+[ ]?[=:][ ]?[\x22']?)(.*)$"
 _NAME = r"^(\S+ )(\S+)(?: (\S+))?$"
+_WORD_EDGE = r"(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])"
 
 # What surrogate names are made of, by script, and how those of women and men end. Fixed values.
 _SYLLABLES = {
@@ -61,13 +63,16 @@ def _single(kind: str) -> str:
 
 # Each mention holds a digit, an @ or one of these; so most texts are told clean without the patterns.
 _MARKS = (
-    "AKIA password passwd secret token api_key apikey Mr. Mrs. Ms. Dr. Prof. Sr. Sra. Srta. Herr Frau Mme Mlle Monsieur Madame Señor Señora"
+    "AKIA Mr. Mrs. Ms. Dr. Prof. Sr. Sra. Srta. Herr Frau Mme Mlle Monsieur Madame Señor Señora"
     " осподин оспожа ύριος υρία"
 ).split()
+# These count in any case.
+_SECRET_MARKS = "password passwd secret token api_key apikey".split()
 
 
 def _has_mention() -> Column:
-    marked = reduce(lambda a, b: a | b, [F.col("text").contains(mark) for mark in _MARKS], F.col("text").rlike("[0-9@]"))
+    secret = [F.lower("text").contains(mark) for mark in _SECRET_MARKS]
+    marked = reduce(lambda a, b: a | b, [*[F.col("text").contains(mark) for mark in _MARKS], *secret], F.col("text").rlike("[0-9@]"))
     return F.coalesce(marked & F.col("text").rlike(ANY), F.lit(False))
 
 
@@ -162,8 +167,10 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(norm: Column) -> Column:
-    """The first digit stays; the check digit is right if and only if it was."""
+    """The first digit stays, and the range of those with a 2; the check digit is right if and only if it was."""
     body = F.substring(_scrambled(norm, F.lit(1)), F.lit(1), F.length(norm) - 1)
+    second = F.concat(F.lit("2"), (3 + _number(F.lit(62), 4)).cast("string"), F.substring(body, 3, 16))
+    body = F.when(norm.startswith("2"), second).otherwise(body)
     right = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
     wrong = F.pmod(right + 1 + _number(F.lit(63), 9), F.lit(10))
     return F.concat(body, F.when(_luhn(norm) == 0, right).otherwise(wrong).cast("string"))
@@ -241,6 +248,11 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         state = written(_made(marked.select("kind", "norm", attempt.alias("_attempt")), key), "surrogates")
 
 
+def _cased(shown: Column, surrogate: Column) -> Column:
+    """A surrogate name in capitals if the name was, else with the first one."""
+    return F.when((F.upper(shown) == shown) & (F.length(shown) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+
+
 def _rendered(kind: Column, shown: Column, surrogate: Column) -> Column:
     """The surrogate as the mention was written: its separators, its case, its country code."""
 
@@ -253,7 +265,7 @@ def _rendered(kind: Column, shown: Column, surrogate: Column) -> Column:
         return F.when(F.substring(shown, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)
 
     letters = F.split(surrogate, "")
-    name = F.when((F.upper(shown) == shown) & (F.length(shown) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    name = _cased(shown, surrogate)
     spaced = F.concat_ws(
         "",
         F.transform(
@@ -283,19 +295,41 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     made = surrogates(found.filter(F.col("kind").isNotNull()), key).select(F.col("kind").alias("_k"), F.col("norm").alias("_m"), "_surrogate")
     replaced = found.join(made, (F.col("kind") == F.col("_k")) & (F.col("norm") == F.col("_m")), "left")
     shown = F.when(F.col("kind").isNull(), F.col("shown")).otherwise(_rendered(F.col("kind"), F.col("shown"), F.col("_surrogate")))
-    pieces = replaced.select("_text", "_at", "_place", shown.alias("_new"))
-    placed = F.sort_array(F.collect_list(F.struct("_place", "_new")))
-    mended = pieces.groupBy("_text", "_at").agg(F.concat_ws("", F.transform(placed, lambda p: p["_new"])).alias("_new"))
+    named = F.when(F.col("kind").contains(":"), F.struct("norm", "_surrogate"))
+    pieces = replaced.select("_text", "_at", "_place", shown.alias("_new"), named.alias("_named"))
+    placed = F.sort_array(F.collect_list(F.struct("_place", "_new", "_named")))
+    mended = pieces.groupBy("_text", "_at").agg(placed.alias("_placed"))
+    mended = mended.select("_text", "_at", F.concat_ws("", F.transform("_placed", lambda p: p["_new"])).alias("_new"), F.transform("_placed", lambda p: p["_named"]).alias("_named"))
     # Mentions are numbered from 0, so that a mention's place in the list is its number.
-    ordered = F.sort_array(F.collect_list(F.struct("_at", "_new")))
-    whole = mended.groupBy("_text").agg(F.transform(ordered, lambda p: p["_new"]).alias("_all"))
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "_new", "_named")))
+    whole = mended.groupBy("_text").agg(ordered.alias("_ordered"))
+    # The names of a text, each with the surrogate of its first mention.
+    names_ = F.filter(F.flatten(F.transform("_ordered", lambda p: p["_named"])), lambda n: n.isNotNull())
+    whole = whole.select("_text", F.transform("_ordered", lambda p: p["_new"]).alias("_all"), names_.alias("_found"))
+    keys = F.array_distinct(F.transform("_found", lambda n: n["norm"]))
+    first = F.transform(keys, lambda k: F.element_at(F.transform("_found", lambda n: n["_surrogate"]), F.array_position(F.transform("_found", lambda n: n["norm"]), k).cast("int")))
+    whole = whole.select("_text", "_all", F.map_from_arrays(keys, first).alias("_names"))
     # Texts without mentions aren't shuffled.
     has = _has_mention()
     keep = [F.col(f"`{c}`") for c in names]
     others = docs.filter(~has).select(*keep, F.lit(0).cast("long").alias("n_entities"))
     keyed = docs.filter(has).withColumn("_digest", F.md5(F.col("text").cast("binary"))).join(whole, F.col("_digest") == F.col("_text"))
-    gaps = F.split("text", ANY, -1)
-    count = F.size(gaps) - 1
+    # Between mentions, words that are a name of the same text go too.
+    keyed = keyed.withColumn("_gaps", F.split("text", ANY, -1))
+    any_name = F.size("_names") > 0
+    words = F.transform("_gaps", lambda gap: F.split(gap, _WORD_EDGE, -1))
+
+    def known(word: Column) -> Column:
+        return F.when(word.rlike(r"^\p{Lu}"), F.element_at("_names", F.lower(word)))
+
+    def renamed(word: Column) -> Column:
+        new = known(word)
+        return F.when(new.isNull(), word).otherwise(_cased(word, new))
+
+    keyed = keyed.withColumn("_words", F.when(any_name, words))
+    again = F.aggregate("_words", F.lit(0), lambda n, gap: n + F.size(F.filter(gap, lambda w: known(w).isNotNull())))
+    gaps = F.when(any_name, F.transform("_words", lambda gap: F.concat_ws("", F.transform(gap, renamed)))).otherwise(F.col("_gaps"))
+    count = F.size("_gaps") - 1 + F.coalesce(again, F.lit(0))
     text = F.concat_ws("", F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get("_all", i), F.lit("")))))
     done = keyed.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], count.cast("long").alias("n_entities"))
     return others.union(done).toDF(*original, "n_entities")

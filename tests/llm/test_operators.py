@@ -169,6 +169,25 @@ def test_surrogates(spark):
     assert {r.text for r in pii.pseudonymised(df, "other").collect()} & {by_id[i].text for i in range(4)} == set()
 
 
+def test_names_without_title_and_marks_in_capitals(spark):
+    texts = [
+        "Anna Meier wrote. Dr. Anna Meier left; later Meier's friend MEIER saw Anna, not Meierhof or meier.",
+        "Password: Abcd12345x and API_KEY=Zyxw98765q, TOKEN='Qwer45678t'",
+        "card 2669109448945250 or 2669-1094-4894-5250",
+        "Meier has no title in this text",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    names = re.fullmatch(r"(\w+) (\w+) wrote\. Dr\. (\w+) (\w+) left; later (\w+)'s friend (\w+) saw (\w+), not Meierhof or meier\.", got[0].text)
+    assert names and "Meier" not in {names[i] for i in range(1, 8)} and names[1] == names[3] == names[7] != "Anna"
+    assert names[2] == names[4] == names[5] != "Meier" and names[6] == names[2].upper() and got[0].n_entities == 6
+    assert got[1].n_entities == 3 and not re.search("Abcd12345x|Zyxw98765q|Qwer45678t", got[1].text)
+    card = re.fullmatch(r"card (2\d{15}) or (2\d{3}(?:-\d{4}){3})", got[2].text)
+    assert card and card[1] == card[2].replace("-", "") != "2669109448945250" and 2221 <= int(card[1][:4]) <= 2720
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(card[1]))]
+    assert sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0 and got[3].text == texts[3]
+
+
 def test_surrogates_differ(spark):
     entities = spark.range(3000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit(1), F.lit(2), (F.col("id") % 10), F.floor(F.col("id") / 10) % 10).alias("norm"))
     made = pii.surrogates(entities).collect()
