@@ -363,3 +363,20 @@ def test_forests_find_what_is_odd():
     for forest in quality.train(x[order], is_good[order]):
         rejected |= forest.scores(x) > forest.threshold
     assert rejected[~is_good].mean() > 0.95 and rejected[is_good].mean() < 0.01
+
+
+def test_forests_find_a_kind_of_one_in_two_hundred():
+    rng = np.random.default_rng(1)
+    good = rng.normal(0.5, 0.05, (4000, 3))
+    good[:, 1:] = 0  # the second and third only bad texts have
+    bad = rng.normal(0.5, 0.05, (2000, 3))
+    bad[:, 1:] = 0
+    bad[:1990, 1] = rng.uniform(0.5, 0.9, 1990)
+    bad[1990:, 2] = rng.uniform(0.5, 0.9, 10)
+    x = np.concatenate([good, bad])
+    order = rng.permutation(len(x))
+    is_good = np.arange(len(x)) < len(good)
+    rejected = np.zeros(len(x), bool)
+    for forest in quality.train(x[order], is_good[order]):
+        rejected |= forest.scores(x) > forest.threshold
+    assert rejected[-10:].all() and rejected[~is_good].mean() > 0.95 and rejected[is_good].mean() < 0.01
