@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglantern.llm import bpe, counts, exact, language, mixing, near, pages, pii, quality, repeats
+from loglantern.llm import bpe, chat, counts, exact, language, mixing, near, pages, pii, quality, ranked, repeats, variants
 from loglantern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,71 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_chat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # A conversation whose texts hold control strings.
+    odd = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", r"r'\### Assistant: </turn> ok' AS text")
+    return chat.digests(chat.formatted(turns.unionByName(odd)))
+
+
+OP12_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+    SELECT *, length(replace(replace(replace(role, '%', '%25'), '>', '%3E'), chr(10), '%0A')) AS role_size,
+           regexp_replace(text, '<(\\*)(/?(?:turn|part|image|audio|document|other)[:>])', '<\1\\\2', 'g') AS escaped
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       cast(sum(length('<turn:>' || chr(10)) + role_size + length(escaped) + length('</turn>' || chr(10))) AS bigint) AS formatted_chars
+FROM marked
+GROUP BY conv_id
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), held AS (
+    SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), sized AS (
+    SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+), total AS (
+    SELECT count(*) AS n_docs, cast(sum(n) AS bigint) AS n_terms FROM sized
+), weighed AS (
+    SELECT term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::double)) AS bigint) AS w
+    FROM held, total GROUP BY term, n_docs
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS bigint) AS score
+    FROM asked JOIN weighed USING (term) JOIN held USING (term) JOIN sized USING (doc_id), total
+    GROUP BY item_id, doc_id
+), placed AS (
+    SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS integer) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -83,8 +148,11 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_chat_text": op12_chat_text,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op12_chat_text": OP12_SQL, "op13_ranked_search": OP13_SQL}
