@@ -7,7 +7,7 @@ placeholders, whose attachment, place and expanded token count are recorded. Eac
 
 Control strings inside texts get a backslash behind their ``<``: a run of backslashes between ``<`` and a control word is
 one longer in the output than in the text, so a mark has none, a text at least one, and reading back takes one away.
-Everything is DataFrame functions; a conversation meets in one place once, sorted by turn.
+Everything is DataFrame functions. A conversation is one row of the output, so its turns meet in one task, once.
 """
 
 from __future__ import annotations

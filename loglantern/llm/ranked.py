@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 
 from loglantern.llm import texts
@@ -91,9 +92,8 @@ class Vocabulary:
 _POSTINGS = "ids binary, missing binary, sizes binary, terms binary, docs binary, counts binary, n_docs long, n_terms long, seen array<int>, df array<long>"
 
 
-def _postings(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def _postings(docs: DataFrame, shared: Broadcast[Vocabulary]) -> DataFrame:
     """One row per batch of documents: their ids and sizes, and the (term, document, count) triples of query terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def block(ids: list[pa.Array], sizes: list, found: list) -> pa.RecordBatch:
         column = pa.concat_arrays(ids)
@@ -343,7 +343,9 @@ def ranked(docs: DataFrame, queries: DataFrame, top: int = TOP, query_bytes: int
     for block in sorted(blocks):
         rows = split.filter((F.col("_shard") == block["_shard"]) & (F.col("_part") == block["_part"])).select("item_id", "_terms").collect()
         names, first, terms, words = _numbered(rows)
-        postings = written(_postings(docs, Vocabulary(words)), "postings")
+        shared = spark.sparkContext.broadcast(Vocabulary(words))
+        postings = written(_postings(docs, shared), "postings")
+        shared.unpersist()
         size = postings.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("l")).first()
         if not size["l"]:
             continue
