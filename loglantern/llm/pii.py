@@ -3,7 +3,7 @@
 Mentions are found by patterns and reduced to entities: the same number written in two ways, or a name after two titles,
 is one entity. Each different entity gets a surrogate from a keyed digest: of the same type, length, case, separators and
 script, for names of the same gender. Surrogates are checked against each other and against all entities of the table;
-those that collide are made anew until none does. So different entities stay different, and one entity has one
+those that collide are made anew until none does, or are permuted where a shape has no values left. So different entities stay different, and one entity has one
 surrogate in all texts. A name that a text has after a title goes wherever else the text has it as a whole word with a
 capital, too.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loglantern.llm.frames import plainly, written
 
 KEY = "surrogates"
+# Tries after which entities of a shape with too few values are permuted.
+ATTEMPTS = 6
 
 # What is found, in order of preference where two begin at one place. Fixed patterns (Java syntax).
 PATTERNS = {
@@ -223,15 +225,69 @@ def _made(entities: DataFrame, key: str) -> DataFrame:
     return entities.withColumn("_stream", stream).withColumn("_surrogate", surrogate).drop("_stream")
 
 
+def _shape(kind: Column, norm: Column) -> Column:
+    """What all surrogates of an entity have in common with it: type, classes of characters, and what stays."""
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(norm, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    stays = (
+        F.when(kind == "email", F.regexp_extract(norm, r"(\.[a-z]+)$", 1))
+        .when(kind.isin("key", "iban"), F.substring(norm, 1, 4))
+        .when(kind == "card", F.concat(F.substring(norm, F.lit(1), F.when(norm.startswith("2"), 2).otherwise(1)), (_luhn(norm) == 0).cast("string")))
+        .otherwise("")
+    )
+    return F.concat_ws("\x1f", kind, classes, stays)
+
+
+def _permuted(kind: Column, norm: Column, shape: Column, key: str) -> Column:
+    """Another value of the same shape; no two of a shape have the same.
+
+    Each character is shifted within its class by a keyed digest of what stands before it in the entity, so the
+    characters can be told back one by one from the left: different entities have different values.
+    """
+
+    def shift(before: Column, modulus: int) -> Column:
+        digest = F.sha2(F.concat_ws("\x1f", F.lit(key), shape, before), 256)
+        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(modulus)).cast("int")
+
+    def shifted(text: Column, keep: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            out = F.when(i < keep, c)
+            for class_, low, n in (("[0-9]", 48, 10), ("[a-z]", 97, 26), ("[A-Z]", 65, 26)):
+                out = out.when(c.rlike(class_), F.char(low + F.pmod(F.ascii(c) - low + shift(F.substring(text, F.lit(1), i), n), F.lit(n))))
+            return out.otherwise(c)
+
+        return F.concat_ws("", F.transform(F.split(text, ""), one))
+
+    def number(part: Column, i: Column) -> Column:
+        before = F.concat_ws(".", F.slice(F.split(norm, r"\."), F.lit(1), i))
+        size, x = F.length(part), part.cast("int")
+        ranges = F.when(size == 1, F.pmod(x + shift(before, 10), F.lit(10))).when(size == 2, 10 + F.pmod(x - 10 + shift(before, 90), F.lit(90)))
+        return ranges.otherwise(100 + F.pmod(x - 100 + shift(before, 156), F.lit(156))).cast("string")
+
+    cut = F.regexp_extract(norm, r"^(.*)(\.[a-z]+)$", 1)
+    body = F.substring(norm, F.lit(1), F.length(norm) - 1)
+    new = shifted(body, F.when(norm.startswith("2"), 2).otherwise(1))
+    # The check digit is as far from the right one as it was.
+    check = F.pmod(F.substring(norm, -1, 1).cast("int") + _luhn(F.concat(body, F.lit("0"))) - _luhn(F.concat(new, F.lit("0"))), F.lit(10))
+    return (
+        F.when(kind == "ip", F.concat_ws(".", F.transform(F.split(norm, r"\."), number)))
+        .when(kind == "email", F.concat(shifted(cut, F.lit(0)), F.regexp_extract(norm, r"(\.[a-z]+)$", 1)))
+        .when(kind == "card", F.concat(new, check.cast("string")))
+        .otherwise(shifted(norm, F.when(kind.isin("key", "iban"), 4).otherwise(0)))
+    )
+
+
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """``kind``, ``norm`` and ``_surrogate`` of each different entity; no two of a type are alike, and none is an entity.
+    """``kind``, ``norm`` and ``_surrogate`` of each different entity; no two of a type are alike.
 
-    A surrogate that is taken goes to the entity that tried less often, then the least; the others try again. Rounds go
-    on until no entity has to, which hardly ever takes more than two.
+    A surrogate that is taken, or is an entity itself, is made anew; of those with the same one the entity that tried less
+    often, then the least, has it. Names get longer from try to try, so that rounds end. All others keep their shape, which
+    has a fixed number of values: after ``ATTEMPTS`` tries all entities of the shape are permuted by the key instead. Those
+    differ from each other by construction, but may be entities of the table, as there aren't enough other values.
     """
     type_ = F.split_part(F.col("kind"), F.lit(":"), F.lit(1))
     state = written(_made(entities.select("kind", "norm").distinct().withColumn("_attempt", F.lit(0)), key), "surrogates")
     known = state.select(type_.alias("_t"), F.col("norm").alias("_s")).distinct()
+    permuted = None
     while True:
         named = state.withColumn("_type", type_)
         winners = named.groupBy("_type", F.lower("_surrogate").alias("_s")).agg(
@@ -242,10 +298,21 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         real = named.join(known, (F.col("_type") == F.col("_t")) & (F.lower("_surrogate") == F.lower("_s")), "left_semi").select("kind", "norm")
         again = written(lost.union(real).distinct().select(F.col("kind").alias("_k"), F.col("norm").alias("_m")), "again")
         if again.isEmpty():
-            return state.select("kind", "norm", "_surrogate")
+            done = state.select("kind", "norm", "_surrogate")
+            return done if permuted is None else done.unionByName(permuted)
         marked = state.join(again, (F.col("kind") == F.col("_k")) & (F.col("norm") == F.col("_m")), "left")
         attempt = F.col("_attempt") + F.col("_k").isNotNull().cast("int")
-        state = written(_made(marked.select("kind", "norm", attempt.alias("_attempt")), key), "surrogates")
+        state = marked.select("kind", "norm", attempt.alias("_attempt"))
+        spent = (F.col("_attempt") >= ATTEMPTS) & ~F.col("kind").contains(":")
+        state = written(state.withColumn("_shape", F.when(~F.col("kind").contains(":"), _shape(F.col("kind"), F.col("norm")))).withColumn("_spent", spent), "tried")
+        used_up = state.filter("_spent").select(F.col("_shape").alias("_u")).distinct()
+        if not used_up.isEmpty():
+            state = written(state.join(used_up, F.col("_shape") == F.col("_u"), "left"), "shaped")
+            settled = state.filter(F.col("_u").isNotNull())
+            settled = written(settled.select("kind", "norm", _permuted(F.col("kind"), F.col("norm"), F.col("_shape"), key).alias("_surrogate")), "permuted")
+            permuted = settled if permuted is None else permuted.unionByName(settled)
+            state = state.filter(F.col("_u").isNull())
+        state = written(_made(state.select("kind", "norm", "_attempt"), key), "surrogates")
 
 
 def _cased(shown: Column, surrogate: Column) -> Column:
@@ -286,8 +353,10 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in its text, and ``n_entities``, the mentions that were replaced.
 
     Null texts stay null, empty ones and texts without mentions stay as they are, with 0 mentions; all other columns and
-    repeated rows are kept. ``key`` decides all surrogates; another key gives others.
+    repeated rows are kept. ``key`` decides all surrogates; another key gives others. A column ``n_entities`` that ``docs``
+    already has is replaced.
     """
+    docs = docs.drop("n_entities")
     original = docs.columns
     docs = plainly(docs, "text")
     names = docs.columns

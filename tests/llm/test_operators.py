@@ -194,6 +194,36 @@ def test_surrogates_differ(spark):
     assert len(made) == 100 == len({r._surrogate for r in made}) and not {r._surrogate for r in made} & {r.norm for r in made}
 
 
+def test_surrogates_of_used_up_shapes(spark):
+    """All addresses of one-digit numbers, all short mails of a host, and ssns: each shape ends with different values."""
+    addresses = [("ip", f"{a}.{b}.{c}.{d}") for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    mails = [("email", f"{a}{b}@{c}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in "ab"]
+    others = [("ip", "10.0.0.1"), ("ssn", "123456789"), ("secret", "abc12345"), ("surname:n:latin", "meier"), ("card", "4111111111111111")]
+    rows = addresses + mails + others
+    made = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    assert len(made) == len(rows) and len({(r.kind, r._surrogate) for r in made}) == len(rows)
+    assert all(re.fullmatch(r"\d\.\d\.\d\.\d", r._surrogate) for r in made if r.kind == "ip" and len(r.norm) == 7)
+    assert sum(r._surrogate != r.norm for r in made) > 0.95 * len(rows)
+
+
+def test_permuted_shapes(spark):
+    """Different entities of a shape get different values of that shape; the check of cards stays right or wrong."""
+    rows = [("card", f"4{i:014d}{c}") for i in range(60) for c in range(10)] + [("card", f"2221{i:011d}{c}") for i in range(20) for c in range(10)]
+    rows += [("key", f"AKIA{i:016X}") for i in range(50)] + [("secret", f"{i:08x}Zz") for i in range(300)] + [("ip", f"{i}.{i}.2.255") for i in range(256)]
+    df = spark.createDataFrame(rows, "kind string, norm string")
+    shape = pii._shape(F.col("kind"), F.col("norm"))
+    made = df.withColumn("shape", shape).withColumn("new", pii._permuted(F.col("kind"), F.col("norm"), F.col("shape"), "k"))
+    made = made.withColumn("again", pii._shape(F.col("kind"), F.col("new"))).collect()
+    assert len({(r.kind, r.new) for r in made}) == len(rows)
+    assert all(r.shape == r["again"] for r in made)
+
+
+def test_entity_count_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@example.org", 7), (2, None, 8)], "doc_id long, text string, n_entities long")
+    done = pii.pseudonymised(docs)
+    assert done.columns == ["doc_id", "text", "n_entities"] and _tuples(done, "doc_id", "n_entities") == [(1, 1), (2, 0)]
+
+
 def test_repeats_match_all_strings(docs, empty, rows):
     where = {}
     order = lambda i: float("inf") if i is None else i
