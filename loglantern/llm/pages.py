@@ -7,16 +7,17 @@ classes are one node of the site's tree. Two entropies say how important a node
   that authors wrote it.
 - content: over the texts that pages show there. The same text on all pages is part of the site.
 
-A node whose importance, its own and that of what hangs below it, is low is noise, and its branch is removed from each
-page. Hosts with few pages show little; for them, and where a page says itself what a part is for (by element, role or
-class), that decides. Parts that are never text (scripts, styles, forms) are always removed, and what a page marks as its
-article is never removed for being alike on many pages.
+A node of low importance is noise wherever it stands, inside what a page marks as its article too: its text is removed,
+and with it the whole branch, unless something important hangs below. Equal pages of a host count once, and a node's
+importance is trusted from ``LEAST_PAGES`` different pages on; a node of fewer pages is unknown, not noise. What a page
+says itself about its parts (elements, roles, classes) is known ahead of the tree: menus, forms, adverts and comments
+are removed, and text outside of a marked article isn't part of it. Parts that are never text always go.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,9 +32,12 @@ from loglantern.llm.pieces import balanced
 THRESHOLD = 0.2
 # Weight of a node's own presentation, against that of its children: 1 - DECAY ** (number of layouts).
 DECAY = 0.9
-# Pages of a host from which its tree is trusted.
+# Different pages from which the importance of a node is trusted.
 LEAST_PAGES = 5
 BATCH_BYTES = 4 << 20
+# Paths of low importance that go to all tasks, in bytes, and the groups of a host where there are more.
+SHARED_BYTES = 8 << 20
+SALTS = 32
 
 # Elements without an end. Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,23 +55,47 @@ _BLOCKS = frozenset(
 _ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _INLINE_FORMATS = frozenset("a b i em strong u s small big code font tt strike".split())
-# Words of classes and ids that name what isn't the article.
+# Words of classes and ids that name what isn't the article, and words that go with them. A class or id counts if all of
+# its words (parted by - and _, digits at the end aside) are of these and one is of the first kind: "share-buttons" is, "share-price" isn't.
 _NOISE = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|adverts|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|footer|site-?header|page-?header|masthead|topbar"
-    r"|side-?bar|widget\w*|related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|signup"
-    r"|login|search|pagination|pager|comments?|comment-?list|replies|reply|respond|discussion|disqus|toolbar|skip-?link|copyright|legal)(?![a-z])"
+    r"(ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|footer|masthead|topbar|sitehead(er)?"
+    r"|sidebar|widgets?|related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|signup"
+    r"|login|search|pagination|pager|comments?|commentlist|replies|reply|respond|discussion|disqus|toolbar|skiplink|copyright)"
 )
+_BESIDE = frozenset(
+    "area article articles author bar block body bottom box btn button buttons card col column container content count fixed form group header holder icon icons"
+    " inline inner item items label layer left link links list main meta module outer page panel post posts primary right row secondary section side site skip"
+    " slot space sticky text thread title top unit user wrap wrapper".split()
+)
+_WORDS = re.compile(r"[-_]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
 
 
+def hash_of(*parts: object) -> int:
+    """A signed 64-bit digest."""
+    text = "\x1f".join(map(str, parts))
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _names_noise(names: str) -> bool:
+    for name in names.split():
+        words = [w for w in (part.rstrip("0123456789") for part in _WORDS.split(name)) if w]
+        if any(_NOISE.fullmatch(w) for w in words) and all(w in _BESIDE or _NOISE.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 class _Node:
-    __slots__ = ("name", "path", "parts", "parent", "never", "noise", "article")
+    """``path`` is a digest of the names and classes from the root on, so that deep nodes take no more room than others."""
 
-    def __init__(self, name: str, path: str, parent: _Node | None):
+    __slots__ = ("name", "path", "parts", "parent", "never", "noise", "article", "inside")
+
+    def __init__(self, name: str, path: int, parent: _Node | None):
         self.name, self.path, self.parent = name, path, parent
         self.parts: list[_Node | str] = []
         self.never = self.noise = self.article = False
+        self.inside = parent is not None and (parent.inside or parent.article)
 
 
 class _Builder(HTMLParser):
@@ -77,11 +105,14 @@ class _Builder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", "", None)
+        self.root = self.at = _Node("", 0, None)
+        self.bodies = 0
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
-        if tag == "body" and any(n.name == "body" for n in self._open()):
-            return
+        if tag == "body":
+            self.bodies += 1
+            if self.bodies > 1:
+                return
         if tag in _BLOCKS:
             self._end_paragraph()
         if tag in _ENDS:
@@ -94,14 +125,13 @@ class _Builder(HTMLParser):
             self.at = self.at.parent
         has = dict(attributes)
         known = " ".join(sorted((has.get("class") or "").lower().split()))
-        node = _Node(tag, f"{self.at.path}/{tag}" + (f".{known}" if known else ""), self.at)
-        inside = self._in_article()
+        node = _Node(tag, hash_of(self.at.path, tag, known), self.at)
         node.article = tag in ("article", "main") or (has.get("role") or "").lower() == "main"
         node.never = tag in _NEVER or "hidden" in has or (has.get("aria-hidden") or "") == "true"
         node.never |= "display:none" in (has.get("style") or "").replace(" ", "").lower()
-        named = bool(_NOISE.search(f"{known} {(has.get('id') or '').lower()}")) and tag not in ("html", "body", "article", "main")
+        named = tag not in ("html", "body", "main") and _names_noise(f"{known} {(has.get('id') or '').lower()}")
         role = (has.get("role") or "").lower() in _ROLES
-        node.noise = tag in _AROUND or role or named or (tag == "header" and not inside)
+        node.noise = tag in _AROUND or role or named or (tag == "header" and not node.inside)
         self.at.parts.append(node)
         if tag not in _VOID:
             self.at = node
@@ -132,9 +162,6 @@ class _Builder(HTMLParser):
             yield node
             node = node.parent
 
-    def _in_article(self) -> bool:
-        return any(n.article for n in self._open())
-
     def _end(self, tag: str, stop: set[str]) -> None:
         for node in self._open():
             if node.name == tag:
@@ -180,25 +207,30 @@ def _own_text(node: _Node) -> str:
     return _clean("".join(out))
 
 
-def style_nodes(root: _Node) -> list[tuple[str, str, str]]:
-    """``(path, layout of the children, own text)`` of the blocks of a page, except of what is never text."""
-    out: list[tuple[str, str, str]] = []
+def style_nodes(root: _Node) -> list[tuple[int, int, str]]:
+    """``(path, layout of the children, own text)`` of the blocks of a page that have text of their own."""
+    out: list[tuple[int, int, str]] = []
     stack = [root]
     while stack:
         node = stack.pop()
         children = [p for p in node.parts if not isinstance(p, str)]
-        if node.parent is not None and (node.name in _BLOCKS):
-            shown: list[str] = []
+        if node.parent is not None and node.name in _BLOCKS:
+            shown: list[int] = []
             for child in children:  # repeats of a child are one, lists of any length are one layout
                 if child.name in _BLOCKS and not child.never and (not shown or shown[-1] != child.path):
                     shown.append(child.path)
-            out.append((node.path, "|".join(shown), _own_text(node)))
+            text = _own_text(node)
+            if text:
+                out.append((node.path, hash_of(*shown), text))
         stack += [c for c in children if not c.never]
     return out
 
 
-def blocks(root: _Node, low: frozenset[str] | set[str]) -> list[str]:
-    """The texts of the blocks that remain, in page order. ``low`` holds paths of low importance."""
+def blocks(root: _Node, low: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """The texts of the blocks that remain, in page order. ``low`` holds the paths of low importance.
+
+    Of a node of low importance its own text goes; what hangs below it has a path, and an importance, of its own.
+    """
     marked = _has_article(root)
     out: list[str] = []
     run: list[str] = []
@@ -209,29 +241,29 @@ def blocks(root: _Node, low: frozenset[str] | set[str]) -> list[str]:
         if text:
             out.append(text)
 
-    # (node or text, inside the article); None ends a block.
-    stack: list[tuple[_Node | str | None, bool]] = [(root, False)]
+    # (node or text, inside the article, in a block of low importance); None ends a block.
+    stack: list[tuple[_Node | str | None, bool, bool]] = [(root, False, False)]
     while stack:
-        part, inside = stack.pop()
+        part, inside, quiet = stack.pop()
         if part is None:
             end()
         elif isinstance(part, str):
-            if inside or not marked:
+            if not quiet and (inside or not marked):
                 run.append(part)
         elif part.name == "br":
             run.append(" ")
+        elif part.never or part.noise:
+            if part.name in _BLOCKS:
+                end()
+            else:
+                run.append(" ")
         else:
-            if part.never or part.noise or (not inside and not part.article and not marked and part.path in low):
-                if part.name in _BLOCKS:
-                    end()
-                else:
-                    run.append(" ")
-                continue
             within = inside or part.article
             if part.name in _BLOCKS:
                 end()
-                stack.append((None, inside))
-            stack += [(p, within) for p in reversed(part.parts)]
+                stack.append((None, inside, quiet))
+                quiet = part.path in low
+            stack += [(p, within, quiet) for p in reversed(part.parts)]
     end()
     return out
 
@@ -255,35 +287,36 @@ def host(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_trees(pages: DataFrame, least_pages: int = LEAST_PAGES, threshold: float = THRESHOLD, decay: float = DECAY) -> DataFrame:
-    """``_host`` and ``_low``, the paths of low importance, of hosts with at least ``least_pages`` pages.
+def site_trees(pages: DataFrame, least_pages: int = LEAST_PAGES, decay: float = DECAY) -> DataFrame:
+    """``_host``, ``_path``, ``_pages`` and ``_importance`` of the nodes of all sites that ``least_pages`` different pages have.
 
-    Tasks add up their own pages by host, path, layout and text before anything is shuffled, so a host with any number
-    of pages is spread over all tasks; what meets in one place is a count for each different layout and text.
+    Each different page of a host counts once for each layout and text of a node. Tasks and partial groups merge what is
+    alike before it is shuffled, and groups are by node, so a host with any number of pages is spread over all tasks.
+    A node's importance is the greater of its content (entropy of its texts) and its presentation (entropy of its
+    layouts, weighted by how many there are), both to the base of the number of pages.
     """
     source = pages.select(host().alias("_host"), F.coalesce("html", F.lit("")).alias("_html"))
+    names = ["_host", "_path", "_layout", "_text", "_page"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            layouts: Counter = Counter()
-            for site, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen: dict[str, list] = {}
-                for path, layout, text in style_nodes(parse(html)):
-                    node = seen.setdefault(path, [[], []])
-                    node[0].append(layout)
-                    node[1].append(text)
-                for path, (shapes, shown) in seen.items():
-                    layouts[site, path, "|".join(dict.fromkeys(shapes)), " ".join(shown)] += 1
-            columns = list(zip(*layouts)) or [(), (), (), ()]
-            shapes = pc.cast(pa.array([hash_of(x) for x in columns[2]], pa.int64()), pa.int64())
-            shown = pa.array([hash_of(x) for x in columns[3]], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), shapes, shown, pa.array(list(layouts.values()), pa.int64())],
-                names=["_host", "_path", "_layout", "_text", "_n"],
-            )
-
-    counted = source.mapInArrow(run, "_host string, _path string, _layout long, _text long, _n long").groupBy("_host", "_path", "_layout", "_text")
-    counted = written(counted.agg(F.sum("_n").alias("_n")), "styles")
+            for first, last in balanced(pc.binary_length(batch.column(1)).to_pylist(), BATCH_BYTES):
+                found: set[tuple] = set()
+                for site, html in set(zip(batch.column(0).slice(first, last - first).to_pylist(), batch.column(1).slice(first, last - first).to_pylist())):
+                    page, seen = hash_of(html), {}
+                    for path, layout, text in style_nodes(parse(html)):
+                        shapes, shown = seen.setdefault(path, ({}, []))
+                        shapes[layout] = None
+                        shown.append(text)
+                    for path, (shapes, shown) in seen.items():
+                        found.add((site, path, hash_of(*shapes), hash_of(*shown), page))
+                columns = list(zip(*found)) or [()] * 5
+                arrays = [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    found = source.mapInArrow(run, "_host string, _path long, _layout long, _text long, _page long").distinct()
+    counted = found.groupBy(*names[:4]).agg(F.count("*").alias("_n"))
+    counted = written(counted, "styles")
 
     def spread(column: str, entropy: str) -> DataFrame:
         """Entropy of a column over the pages that have the node, to the base of their number; 1 for a single page."""
@@ -297,68 +330,49 @@ def site_trees(pages: DataFrame, least_pages: int = LEAST_PAGES, threshold: floa
 
     shapes = spread("_layout", "_shape").select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_shape", "_shape_kinds")
     nodes = spread("_text", "_shown").join(shapes, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")))
-    nodes = nodes.select("_host", "_path", "_pages", "_shape", "_shape_kinds", "_shown")
-    # A site's tree is small, one row for each of its paths; the tree of a host is put together from them.
-    tree = nodes.groupBy("_host").agg(F.max("_pages").alias("_most"), F.collect_list(F.struct("_path", "_pages", "_shape", "_shape_kinds", "_shown")).alias("_nodes"))
-    low = F.udf(lambda found: low_paths(found, threshold, decay), T.ArrayType(T.StringType()))
-    return tree.filter(F.col("_most") >= least_pages).select("_host", low("_nodes").alias("_low"))
-
-
-def hash_of(text: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    own = (1 - F.pow(F.lit(decay), F.col("_shape_kinds"))) * F.col("_shape")
+    return nodes.filter(F.col("_pages") >= least_pages).select("_host", "_path", "_pages", F.greatest("_shown", own).alias("_importance"))
 
 
-def low_paths(nodes: list, threshold: float = THRESHOLD, decay: float = DECAY) -> list[str]:
-    """The paths whose composite importance is below ``threshold``.
-
-    A leaf counts by its content. An inner node counts by its presentation as far as it varies, by the most important
-    of what hangs below it, and by its own text.
-    """
-    by_path = {n["_path"]: n for n in nodes}
-    children: dict[str, list[str]] = {}
-    for path in by_path:
-        at = path.rfind("/")
-        while at > 0 and path[:at] not in by_path:
-            at = path.rfind("/", 0, at)
-        if at > 0:
-            children.setdefault(path[:at], []).append(path)
-    importance: dict[str, float] = {}
-    for path in sorted(by_path, key=lambda p: -p.count("/")):
-        node = by_path[path]
-        below = [importance[c] for c in children.get(path, ())]
-        if below:
-            own = 1 - decay ** node["_shape_kinds"]
-            value = own * node["_shape"] + (1 - own) * max(below)
-            importance[path] = max(value, max(below), node["_shown"])
-        else:
-            importance[path] = node["_shown"]
-    return sorted(p for p, value in importance.items() if value < threshold)
-
-
-def extract(pages: DataFrame, **options: float) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, threshold: float = THRESHOLD, decay: float = DECAY) -> DataFrame:
     """Per row of ``pages``: page_id, url, ``text`` (empty if none) and ``n_chars``.
 
     Blocks are joined in page order by an empty line, white space inside a block is one space, character references
     are decoded. Null html gives no text; a null or odd address is a host of its own name, the empty one; repeated rows
-    count as pages of their own and give repeated results. Only page_id, url and html are read.
+    and equal pages of a host count once in its tree and give repeated results. Long and deeply nested pages take time in
+    proportion to their size. Only page_id, url and html are read.
+
+    The paths of low importance go to all tasks while they are at most ``SHARED_BYTES``, so pages stay where they lie;
+    beyond that, pages and paths meet by host, large hosts in ``SALTS`` groups.
     """
-    trees = site_trees(pages, **options)
+    trees = site_trees(pages, least_pages, decay)
+    low = written(trees.filter(F.col("_importance") < threshold).select("_host", "_path"), "low")
     source = pages.select("page_id", "url", host().alias("_host"), F.coalesce("html", F.lit("")).alias("_html"))
-    # One row for each host with noise; Spark broadcasts it as long as it is small, else it splits a large host.
-    with_tree = source.join(trees.filter(F.size("_low") > 0).select(F.col("_host").alias("_h"), "_low"), F.col("_host") == F.col("_h"), "left")
-    with_tree = with_tree.select("page_id", "url", "_html", "_low")
-    schema = T.StructType(
-        [source.schema["page_id"], source.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    )
+    fields = [source.schema["page_id"], source.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+    schema = T.StructType(fields)
+    size = low.agg(F.sum(F.octet_length("_host") + 8)).first()[0] or 0
+    shared = None
+    if size <= SHARED_BYTES:
+        known: dict[str, set[int]] = {}
+        for site, path in low.collect():
+            known.setdefault(site, set()).add(path)
+        shared = pages.sparkSession.sparkContext.broadcast(known)
+        source = source.select("page_id", "url", "_html", "_host")
+    else:
+        by_host = low.groupBy(F.col("_host").alias("_h")).agg(F.collect_list("_path").alias("_low"))
+        by_host = by_host.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = source.withColumn("_salt", F.pmod(F.xxhash64("page_id", "_html"), F.lit(SALTS)).cast("int"))
+        salted = salted.join(by_host, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left")
+        source = salted.select("page_id", "url", "_html", "_low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last in balanced(pc.binary_length(batch.column(2)).to_pylist(), BATCH_BYTES):
                 part = batch.slice(first, last - first)
-                found = ["\n\n".join(blocks(parse(html), set(low or ()))) for html, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                keys = part.column(3).to_pylist()
+                paths = [set(x or ()) for x in keys] if shared is None else [shared.value.get(x, frozenset()) for x in keys]
+                found = ["\n\n".join(blocks(parse(html), low)) for html, low in zip(part.column(2).to_pylist(), paths)]
                 arrays = [part.column(0), part.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return with_tree.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

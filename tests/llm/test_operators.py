@@ -142,6 +142,78 @@ def test_html_text(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def _pages(spark, htmls, site="a.example"):
+    return spark.createDataFrame([(i, f"http://{site}/{i}", x, "clash") for i, x in enumerate(htmls)], "page_id long, url string, html string, _path string")
+
+
+def _extracted(df, **options):
+    return {r.page_id: r.text for r in pages.extract(df, **options).collect()}
+
+
+def test_html_tree_decides_inside_articles(spark, monkeypatch):
+    """An advert of no telling name that is alike on all pages goes, in the article too, and only by the tree."""
+    htmls = [f'<article><p>body {i} of <b>page {i}</b></p><div class="x1">buy now</div><p>end {i}</p></article>' for i in range(40)]
+    want = {i: f"body {i} of page {i}\n\nend {i}" for i in range(40)}
+    assert _extracted(_pages(spark, htmls)) == want
+    assert all("buy now" in x for x in _extracted(_pages(spark, htmls), threshold=0.0).values())
+    assert all("buy now" in x for x in _extracted(_pages(spark, htmls[:4])).values())  # too few pages to tell
+    monkeypatch.setattr(pages, "SHARED_BYTES", 0)
+    assert _extracted(_pages(spark, htmls)) == want
+
+
+def test_html_names(spark):
+    html = '<div id="post"><p>the body</p></div><article class="comment">first!</article><div class="share-buttons2">tweet</div>'
+    assert _extracted(_pages(spark, [html])) == {0: "the body"}
+    html = '<article><div class="share-price">up 3</div><section id="legal">by law</section><div class="cookie-bar">ok?</div><div class="adventure">far</div></article>'
+    assert _extracted(_pages(spark, [html])) == {0: "up 3\n\nby law\n\nfar"}
+
+
+def test_html_equal_pages_count_once(spark):
+    page = "<body><div class=a><p>the only text</p></div></body>"
+    assert set(_extracted(_pages(spark, [page] * 30)).values()) == {"the only text"}
+
+
+def test_html_deep_pages_take_linear_time(spark):
+    import time
+
+    def took(depth):
+        html = "<div class=a>" * depth + "deep" + "<b>" * depth + "er"
+        start = time.perf_counter()
+        root = pages.parse(html)
+        assert pages.blocks(root) == ["deeper"] and len(pages.style_nodes(root)) == 1
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(40_000) < 40 * max(took(4_000), 0.01)
+
+
+def test_html_tree_matches_plain_entropies(spark):
+    rng = random.Random(9)
+    htmls = []
+    for _ in range(60):
+        parts = "".join(f'<div class="c{k}">{rng.choice("abcdefgh"[: k + 1])}{"<p>x</p>" * rng.randint(0, k % 3)}</div>' for k in range(6) if rng.random() < 0.7)
+        htmls.append(f"<main>{parts}</main>")
+    seen = collections.defaultdict(lambda: ([], []))
+    for html in sorted(set(htmls)):
+        nodes = collections.defaultdict(lambda: ([], []))
+        for path, layout, text in pages.style_nodes(pages.parse(html)):
+            if layout not in nodes[path][0]:
+                nodes[path][0].append(layout)
+            nodes[path][1].append(text)
+        for path, (shapes, shown) in nodes.items():
+            seen[path][0].append(tuple(shapes))
+            seen[path][1].append(tuple(shown))
+
+    def entropy(values):
+        n = len(values)
+        return sum(-k / n * np.log(k / n) for k in collections.Counter(values).values()) / np.log(n)
+
+    want = {path: max(entropy(t), (1 - 0.9 ** len(set(s))) * entropy(s)) for path, (s, t) in seen.items() if len(t) >= 5}
+    got = {r._path: r._importance for r in pages.site_trees(_pages(spark, htmls + htmls[:20])).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert min(want.values()) < 0.2 and max(want.values()) > 0.4
+
+
 def test_surrogates(spark):
     texts = [
         "Mail Bob.Smith42@mail8.example.com or bob.smith42@MAIL8.example.com",
