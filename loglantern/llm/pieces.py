@@ -19,6 +19,25 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+class _Generations:
+    """Values by piece in two generations: when the younger one is full the older one goes, so what is used often stays."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """The pieces that neither generation has; those of the older one move to the younger."""
+        new = pieces - self.young.keys()
+        kept = new & self.old.keys()
+        for piece in kept:
+            self.young[piece] = self.old[piece]
+        return list(new - kept)
+
+    def turn(self) -> None:
+        self.young, self.old = {}, self.young
+
+
 class Remembered:
     """Values of pieces, computed for many new ones at a time and kept up to a bound.
 
@@ -28,30 +47,28 @@ class Remembered:
 
     def __init__(self, compute: Callable[[list[str]], Sequence], limit: int = 300_000, long: int = 64):
         self.compute, self.limit, self.long = compute, limit, long
-        self.first: dict[str, object] = {}
-        self.later: dict[str, object] = {}
+        self.first, self.later = _Generations(), _Generations()
 
     def values(self, texts: Sequence[str]) -> Iterator[list]:
         """For each text the values of its pieces, in order."""
         cuts = [cut(text) for text in texts]
-        if len(self.first) + len(self.later) > self.limit:
-            self.first, self.later = {}, {}
-        new_first = list({pieces[0] for pieces in cuts} - self.first.keys())
-        new_later = {piece for pieces in cuts for piece in pieces[1:]}
-        new_later = list(new_later - self.later.keys())
+        if len(self.first.young) + len(self.later.young) > self.limit // 2:
+            self.first.turn()
+            self.later.turn()
+        new_first = self.first.missing({pieces[0] for pieces in cuts})
+        new_later = self.later.missing({piece for pieces in cuts for piece in pieces[1:]})
         found = self.compute(new_first + [" " + piece for piece in new_later])
-        self.first.update(zip(new_first, found))
-        self.later.update(zip(new_later, found[len(new_first) :]))
+        self.first.young.update(zip(new_first, found))
+        self.later.young.update(zip(new_later, found[len(new_first) :]))
+        first, later = self.first.young, self.later.young
         for pieces in cuts:
-            out = [self.first[pieces[0]]]
-            out.extend(map(self.later.__getitem__, pieces[1:]))
+            out = [first[pieces[0]]]
+            out.extend(map(later.__getitem__, pieces[1:]))
             yield out
-        for piece in new_first:
-            if len(piece) > self.long:
-                del self.first[piece]
-        for piece in new_later:
-            if len(piece) > self.long:
-                del self.later[piece]
+        for known, new in ((first, new_first), (later, new_later)):
+            for piece in new:
+                if len(piece) > self.long:
+                    del known[piece]
 
 
 def balanced(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
