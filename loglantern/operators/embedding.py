@@ -29,6 +29,22 @@ ENCODE_BATCH = 32
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 
+# Bytes of stored data that one task encodes, where the files are too few to keep tasks that small.
+TASK_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, task_bytes: int = TASK_BYTES, tasks: int | None = None) -> DataFrame:
+    """Rows dealt to as many tasks as their stored bytes ask for, if the scan has fewer.
+
+    Encoding takes far longer than reading, and a file of one row group is one task however many cores there are. Beyond
+    the session's shuffle partitions the scan has tasks enough, and nothing is dealt.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if tasks is None else tasks
+    wanted = min(most, -(-size // task_bytes))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 # -- encoders ---------------------------------------------------------------------------------
 
 def fit_lexical(texts: DataFrame, column: str = "message", dim: int = DIMENSION, min_docs: int = 0) -> PipelineModel:

@@ -7,13 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import vectors
 from ..session import shared_dir
-from .ranking import SALTS, top_per_group
+from .ranking import SALTS, keep_first, top_per_group
 
 # Greatest size of the query block sent to every executor, and of a hit table joined by broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -229,53 +227,18 @@ def attach(hits: DataFrame, texts: DataFrame, key: str = "log_id", max_broadcast
 
     The hits, k per query, are written once and counted; a number within the bound is broadcast,
     so that the text table is scanned where it lies and not shuffled. Beyond it both sides join by
-    key.
+    key. A key that the text table has more than once gives each of its hits once, with the first
+    of its rows by the other columns.
     """
     shared_dir(hits.sparkSession)
     kept = hits.checkpoint()
     side = F.broadcast(kept) if kept.count() <= max_broadcast else kept
-    return texts.join(side, key)
+    joined = texts.join(side, key)
+    order = [F.col(c).asc() for c in joined.columns if c not in hits.columns]
+    return keep_first(joined, hits.columns, order or [F.lit(0)])
 
 
-# -- approximate ------------------------------------------------------------------------------
-
-def lsh_buckets(df: DataFrame, embedding: str = "embedding", tables: int = 4, width: float = 0.8, seed: int = 42):
-    """A fitted random-projection hash; unit vectors that are close share a bucket in some table."""
-    hashed = df.withColumn("__features", array_to_vector(F.col(embedding).cast("array<double>")))
-    return BucketedRandomProjectionLSH(
-        inputCol="__features", outputCol="__hashes", numHashTables=tables, bucketLength=width, seed=seed
-    ).fit(hashed)
-
-
-def with_buckets(df: DataFrame, model, embedding: str = "embedding") -> DataFrame:
-    """Adds ``buckets``: one text ``table:bucket`` per hash table. Store it to prune later scans."""
-    hashed = model.transform(df.withColumn("__features", array_to_vector(F.col(embedding).cast("array<double>"))))
-    names = [
-        F.concat(F.lit(f"{i}:"), vector_to_array(F.col("__hashes")[i])[0].cast("bigint").cast("string"))
-        for i in range(model.getNumHashTables())
-    ]
-    return hashed.withColumn("buckets", F.array(*names)).drop("__features", "__hashes")
-
-
-def knn_approximate(
-    corpus: DataFrame, queries: DataFrame, k: int, dim: int, model, embedding: str = "embedding", **keys: str
-) -> DataFrame:
-    """k nearest among the corpus rows that share a bucket with some query. NOT exact: report its
-    recall against ``knn``.
-
-    The buckets only thin out the corpus: rows are tested for a shared bucket and then scored once,
-    so a crowded bucket makes no pairs of rows. There are at most as many bucket names as queries
-    times tables, and the set is used only while it is within the broadcast bound.
-    """
-    probes = with_buckets(queries, model, embedding).select(F.explode("buckets").alias("b")).distinct()
-    limit = broadcast_bound(dim) * model.getNumHashTables()
-    names = [row["b"] for row in probes.limit(limit + 1).collect()]
-    thinned = with_buckets(corpus, model, embedding)
-    if len(names) <= limit:
-        wanted = F.array(*[F.lit(name) for name in names]) if names else F.array().cast("array<string>")
-        thinned = thinned.filter(F.arrays_overlap("buckets", wanted))
-    return knn(thinned, queries, k, dim, embedding=embedding, query_embedding=embedding, **keys)
-
+# -- recall of approximate searches (see ``ivf``) ---------------------------------------------
 
 def recall_at_k(found: DataFrame, exact: DataFrame, query_key: str = "qid", corpus_key: str = "log_id") -> DataFrame:
     """Share of the exact neighbours that were found."""

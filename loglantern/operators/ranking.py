@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import ago
@@ -115,6 +118,39 @@ def top_per_group(
     return ranked.drop(position)
 
 
+def newest_distinct(df: DataFrame, group: str, columns: Sequence[str], n: int, held_rows: int = 20_000) -> DataFrame:
+    """For each task and group the ``n`` newest distinct rows of ``columns`` (the time first, then in ascending order).
+
+    A bounded state, merged batch by batch: copies go before anything is shuffled, so a task passes on at most ``n`` rows a
+    group however often they repeat. Merge what the tasks return in the same way, or with ``distinct`` and a top-n.
+    """
+    names = [group, *columns]
+    source = df.select(*names)
+
+    def cut(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().group_by(names).aggregate([]).select(names)
+        flagged, keys = rows, [(group, "ascending"), (columns[0], "descending")]
+        for c in columns[1:]:  # nulls first, as Spark has them
+            flagged = flagged.append_column(f"{c}!", pc.is_valid(rows.column(c)))
+            keys += [(f"{c}!", "ascending"), (c, "ascending")]
+        rows = rows.take(pc.sort_indices(flagged, sort_keys=keys))
+        codes = rows.column(group).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else codes
+        place = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+        return rows.filter(pa.array(place < n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list[pa.RecordBatch] = []
+        for batch in batches:
+            state.append(batch)
+            if sum(b.num_rows for b in state) > held_rows:
+                state = cut(pa.Table.from_batches(state)).combine_chunks().to_batches()
+        if state:
+            yield from cut(pa.Table.from_batches(state)).to_batches()
+
+    return source.mapInArrow(run, source.schema)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the order.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import taxonomy, text
 from ..session import shared_dir
 from .knn import attach, knn, semantic_search
-from .ranking import from_newest, keep_first, top_per_group
+from .ranking import from_newest, keep_first, newest_distinct, top_per_group
 
 # Score shown for a keyword hit, least score of a vector hit, and the number of keyword hits below
 # which vectors are asked too. Fixed values.
@@ -50,23 +50,18 @@ def keyword_hits(
 ) -> DataFrame:
     """The newest ``top`` distinct (message, timestamp, host) rows of every search category.
 
-    The hits depend on the category only, so any number of questions shares this one pass. A rank
-    that gives copies the same place cuts every scan task down to its newest ``top`` distinct rows
-    before the first shuffle; copies then merge by partial aggregation, and at most ``salts`` *
-    ``top`` distinct rows per category are left to order.
+    The hits depend on the category only, so any number of questions shares this one pass. Each scan task keeps its newest
+    ``top`` distinct rows of a category and no copies, so the first shuffle carries at most tasks * ``top`` rows a
+    category; of those, ``salts`` part groups leave the rows that are put in order.
     """
     order = [F.col("timestamp").desc(), F.col("message").asc(), F.col("host").asc()]
     part = Window.partitionBy("category", "__part").orderBy(*order)
 
     def run(rows: DataFrame) -> DataFrame:
-        newest = (
-            keyword_candidates(rows, lists)
-            .withColumn("__part", F.spark_partition_id() % salts)
-            .withColumn("__place", F.dense_rank().over(part))
-            .filter(F.col("__place") <= top)
-        )
-        distinct = newest.select("category", *HIT_COLUMNS).distinct()
-        return top_per_group(distinct, ["category"], order, top, rank="rank", salts=1)
+        newest = newest_distinct(keyword_candidates(rows, lists), "category", ("timestamp", "message", "host"), top)
+        newest = newest.withColumn("__part", F.pmod(F.xxhash64(*HIT_COLUMNS), F.lit(salts))).distinct()
+        newest = newest.withColumn("__place", F.row_number().over(part)).filter(F.col("__place") <= top)
+        return top_per_group(newest.select("category", *HIT_COLUMNS), ["category"], order, top, rank="rank", salts=1)
 
     return from_newest(logs, run, lambda found: found.count() >= top * len(lists))
 
@@ -106,12 +101,6 @@ def hybrid_search(
     without text are refused and get no rows.
     """
     spark = questions.sparkSession
-    # At most four categories times ``top`` rows, whatever the size of the logs: held once, so that
-    # the logs are scanned once for the hits and for the number of hits.
-    found = keyword_hits(logs, top)
-    hits = spark.createDataFrame(found.collect(), found.schema)
-    sizes = hits.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
     # Routed once and kept: the questions are read again for each stage, and their vectors may have
     # taken an encoder to get.
     shared_dir(spark)
@@ -120,6 +109,15 @@ def hybrid_search(
         .select("qid", taxonomy.route_of("query").alias("category"), "embedding")
         .checkpoint()
     )
+    # At most four categories times ``top`` rows, whatever the size of the logs: held once, so that
+    # the logs are scanned once for the hits and for the number of hits. Categories that no question
+    # goes to aren't looked for.
+    routed = {row["category"] for row in asked.select("category").distinct().collect()}
+    lists = {name: words for name, words in taxonomy.SEARCH_WORDS.items() if name in routed}
+    found = keyword_hits(logs, top, lists) if lists else None
+    empty = spark.createDataFrame([], keyword_hits(logs, top, {"none": ("none",)}).schema) if found is None else None
+    hits = spark.createDataFrame(found.collect(), found.schema) if found is not None else empty
+    sizes = hits.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     by_words = asked.select("qid", "category").join(F.broadcast(hits), "category").select(
         "qid",
         F.lit(0).alias("stage"),

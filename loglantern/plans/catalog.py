@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import taxonomy, text, vectors
 from ..functions.times import instant, latest
-from ..operators import classification, embedding, filters, knn, ranking, reports, retention, search
+from ..operators import classification, embedding, filters, ivf, knn, ranking, reports, retention, search
 from ..schemas import level_rank
 from ..session import scratch_path, shared_dir
-from ..sources import readers, writers
+from ..sources import file_index, readers, tail, writers
 from ..streaming import ingest, trends
 from . import jobs
 from .tables import as_logs, dimension, log_embeddings, logs, table
@@ -419,22 +419,35 @@ def knn_texts(spark, sf):
     return knn.attach(near, texts, "vec_id").select("qid", "vec_id", "rank", "message")
 
 
-def _lsh(spark, sf):
+def _asked_aside(given):
+    """Queries that aren't rows of the corpus: every vector with a part of its neighbouring components mixed in."""
+    n = F.size("embedding")
+    mixed = F.transform("embedding", lambda x, i: x + 0.25 * F.element_at("embedding", F.pmod(i + 1, n) + 1))
+    return given.select(F.col("vec_id").alias("qid"), mixed.alias("embedding"))
+
+
+def _cells(spark, sf):
     given = table(spark, sf, "embeddings")
-    asked = given.withColumnRenamed("vec_id", "qid")
-    model = knn.lsh_buckets(given)
-    return knn.knn_approximate(given, asked, 5, dimension(given), model, corpus_key="vec_id")
+    dim = dimension(given)
+    cells = ivf.fit_cells(given, dim, "vec_id")
+    path = scratch_path(spark, "cells")
+    ivf.with_cell(given, cells, dim, "vec_id").write.partitionBy("cell").parquet(path)
+    return ivf.search_cells(spark.read.parquet(path), _asked_aside(given), cells, 5, dim, corpus_key="vec_id")
 
 
 @_query
 def knn_lsh(spark, sf):
-    """Approximate neighbours; see ``knn_lsh_recall``."""
-    return _lsh(spark, sf).select("qid", "vec_id", F.round("score", 5).alias("score"), "rank")
+    """Approximate neighbours from the cells closest to each query; see ``knn_lsh_recall``."""
+    return _cells(spark, sf).select("qid", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 @_query
 def knn_lsh_recall(spark, sf):
-    return knn.recall_at_k(_lsh(spark, sf), _self_knn(spark, sf, 5), "qid", "vec_id")
+    """Whether nine tenths of the exact neighbours are found, and in how many answers."""
+    given = table(spark, sf, "embeddings")
+    exact = knn.knn(given, _asked_aside(given), 5, dimension(given), corpus_key="vec_id")
+    recall = knn.recall_at_k(_cells(spark, sf), exact, "qid", "vec_id")
+    return recall.select((F.col("recall") >= 0.9).alias("recall_reached"), F.lit(given.count()).cast("bigint").alias("queries"))
 
 
 @_query
@@ -447,7 +460,7 @@ def pending_messages(spark, sf):
 
 @_query
 def document_embeddings(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = embedding.spread(table(spark, sf, "documents").select("doc_id", "text"))
     encoder = embedding.lexical_encoder(embedding.fit_lexical(docs, "text"))
     done = embedding.embed(docs, encoder, "text")
     return done.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm("embedding"), 3).alias("norm"))
@@ -456,7 +469,7 @@ def document_embeddings(spark, sf):
 @_query
 def embed_backfill(spark, sf):
     """New rows of the vector table for all messages that have no vector yet."""
-    rows = as_logs(table(spark, sf, "events"))
+    rows = as_logs(embedding.spread(table(spark, sf, "events")))
     done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("log_id"))
     encoder = embedding.lexical_encoder(embedding.fit_lexical(rows))
     filled = embedding.backfill_rows(rows, done, encoder)
@@ -489,7 +502,10 @@ def _questions(store: DataFrame) -> DataFrame:
 
 
 def _hybrid(spark, sf, threshold):
-    store = log_embeddings(spark, sf)
+    # Joined once: the store is read for the questions, the vectors and the messages of the hits.
+    path = scratch_path(spark, "store")
+    log_embeddings(spark, sf).write.parquet(path)
+    store = spark.read.parquet(path)
     found = search.hybrid_search(
         _questions(store), logs(spark, sf), store, 10, dimension(store), threshold
     )
@@ -567,17 +583,18 @@ def _trained(spark, sf):
     given = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     split = classification.stratified_split(given, "vec_id")
     model = classification.train_classifier(split.filter("is_train"))
-    return classification.predict(model, split.filter("not is_train"))
+    return classification.predict(model, split)
 
 
 @_query
 def classifier_predictions(spark, sf):
-    return _trained(spark, sf).drop("embedding", "is_train")
+    """Label and probabilities of every row; ``is_train`` tells which the classifier was made from."""
+    return _trained(spark, sf).drop("embedding")
 
 
 @_query
 def classifier_report(spark, sf):
-    return classification.classification_report(classification.confusion_matrix(_trained(spark, sf)))
+    return classification.classification_report(classification.confusion_matrix(_trained(spark, sf).filter("not is_train")))
 
 
 # -- tables on storage ------------------------------------------------------------------------
@@ -669,6 +686,59 @@ def stored_keyword_search(spark, sf):
     return search.keyword_hits(spark.read.parquet(path)).withColumn("score", F.lit(0.85).cast("double"))
 
 
+def _indexed(spark, sf):
+    """The table in its layout with its file index; the newest files come after the index was made."""
+    path = scratch_path(spark, "logs")
+    rows = _full_logs(spark, sf)
+    writers.write_logs(rows.filter("day(timestamp) < 28"), path)
+    file_index.refresh(spark, path)
+    writers.write_logs(rows.filter("day(timestamp) >= 28"), path)
+    return path
+
+
+@_query
+def newest_indexed_rows(spark, sf):
+    """The newest rows by the files' own times, with files that the index doesn't know yet."""
+    return reports.newest_rows(file_index.newest(spark, _indexed(spark, sf), 100), 100)
+
+
+@_query
+def indexed_summary(spark, sf):
+    """Summary and severity estimate as sums over files."""
+    found = file_index.summary(spark, _indexed(spark, sf))
+    names = {"is_error": "errors", "is_security": "security_issues", "is_hardware": "hardware_issues"}
+    severity = [F.col(f"est_{name}").alias(f"severity_{name}") for name in taxonomy.SEVERITY_WORDS]
+    return found.select(F.col("rows").alias("total_logs"), *[F.col(a).alias(b) for a, b in names.items()], *severity, "least", "greatest")
+
+
+@_query
+def word_rows(spark, sf):
+    """Rows with one of a few words, from the files that may hold one."""
+    found = file_index.matching(spark, _indexed(spark, sf), ("libxpc", "slow query", "délai"))
+    return found.select("log_id", "timestamp", "message")
+
+
+@_query
+def indexed_keyword_search(spark, sf):
+    """Keyword hits of every category, each from the newest files that may hold its words."""
+    keep = lambda rows: rows.filter(text.longer_than("message") & text.without_any("message", text.NOISE_KEYWORD))
+    path = _indexed(spark, sf)
+    found = file_index.newest_hits(spark, path, taxonomy.SEARCH_WORDS, 10, ("timestamp", "message", "host"), keep)
+    return found.withColumn("score", F.lit(0.85).cast("double"))
+
+
+@_query
+def line_ingest(spark, sf):
+    """Log lines in files, followed as they come in two batches, in the log table with its flags."""
+    path = scratch_path(spark, "lines")
+    lines = logs(spark, sf).select(F.regexp_replace("message", "\\n", " ").alias("value"), (F.col("log_id") % 3 == 0).alias("late"))
+    for late in (False, True):
+        lines.filter(F.col("late") == late).select("value").write.mode("append").text(f"{path}/in")
+        jobs.ingest_lines(spark, f"{path}/in", f"{path}/logs", f"{path}/checkpoint", pattern="part-*", once=True).awaitTermination()
+    stored = spark.read.parquet(f"{path}/logs")
+    return stored.groupBy("message", "level", "label", "is_error", "find_hardware").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query
 def retention_cleanup(spark, sf):
     """The table after a clean-up of rows older than ten days, and how many rows went."""

@@ -12,7 +12,8 @@ from ..functions import taxonomy, text
 from ..functions.times import Instant
 from ..operators import classification, embedding, reports, search
 from ..session import scratch_path
-from ..sources import readers, writers
+from ..sources import readers, tail, writers
+from ..streaming import ingest
 
 
 # -- reports ----------------------------------------------------------------------------------
@@ -92,6 +93,19 @@ def collect_logs(spark: SparkSession, export: str, table: str, entries: str, as_
     return stored
 
 
+def ingest_lines(
+    spark: SparkSession, folder: str, table: str, checkpoint: str, pattern: str = "*", host: str = "", from_end: bool = False, once: bool = False, seconds: int = ingest.COLLECTION_INTERVAL
+):
+    """Follows the files of a folder, appended lines included, into the month-partitioned log table with its flags.
+
+    The checkpoint holds a byte position per file and the table's own log the finished batches, so a run that was killed
+    goes on where it stopped and no line is stored twice. Reports read the flags in place of the messages.
+    """
+    lines = tail.raw_rows(tail.follow(spark, folder, pattern, from_end), host)
+    rows = writers.with_ingest_columns(readers.normalise(lines))
+    return ingest.to_table(rows, table, checkpoint, once, seconds, by_month=True)
+
+
 # -- vectors ----------------------------------------------------------------------------------
 
 def backfill(

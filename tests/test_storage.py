@@ -142,12 +142,13 @@ def test_vectors_are_replaced_as_a_whole(spark, tmp_path):
     assert [r.text for r in writers.load_vectors(spark, path).collect()] == ["c"]
 
 
-def test_missing_or_broken_store_is_empty(spark, tmp_path):
+def test_missing_store_is_empty_and_a_broken_one_fails(spark, tmp_path):
     assert readers.read_or_empty(spark, str(tmp_path / "absent"), schemas.EMBEDDINGS).count() == 0
     broken = tmp_path / "broken"
     broken.mkdir()
     (broken / "part.parquet").write_bytes(b"not parquet")
-    assert readers.read_or_empty(spark, str(broken), schemas.EMBEDDINGS).count() == 0
+    with pytest.raises(Exception, match="not a Parquet file|FAILED_READ_FILE"):
+        readers.read_or_empty(spark, str(broken), schemas.EMBEDDINGS).count()
 
 
 def test_backfill_is_incremental(spark, typed, tmp_path):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loglantern.operators import embedding, knn
+from loglantern.operators import embedding, ivf, knn
 from loglantern.session import shared_dir
 
 DIM = 8
@@ -87,14 +87,45 @@ def test_attach_both_ways(spark, corpus, queries):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 2 * queries.count()
 
 
-def test_lsh_recall(spark, corpus, queries):
+def test_attach_keeps_one_row_per_hit(spark, corpus, queries):
+    hits = knn.knn(corpus, queries, 2, DIM)
+    texts = corpus.select("log_id", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("text"))
+    for bound in (0, 1000):
+        rows = knn.attach(hits, texts, max_broadcast=bound).collect()
+        assert len(rows) == hits.count() and {r.text for r in rows} == {"a"}
+
+
+def test_cells_find_neighbours(spark, corpus, queries, plan):
     good = corpus.filter("log_id like 'id%'")
-    model = knn.lsh_buckets(good, width=1.0)
-    found = knn.knn_approximate(good, queries, 5, DIM, model)
+    cells = ivf.fit_cells(good, DIM)
+    index = ivf.with_cell(good, cells, DIM)
     exact = knn.knn(good, queries, 5, DIM)
-    assert knn.recall_at_k(found, exact).first().recall >= 0.9
-    few = knn.knn_approximate(good, queries.limit(1), 5, DIM, model)
-    assert few.count() == 5
+    found = ivf.search_cells(index, queries, cells, 5, DIM)
+    assert knn.recall_at_k(found, exact).first().recall >= 0.8
+    # With all cells probed it is exact, in blocks of any size.
+    n = len(cells.centres)
+    pairs = lambda df: sorted((r.qid, r.log_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert pairs(ivf.search_cells(index, queries, cells, 5, DIM, probes=n)) == pairs(exact)
+    assert pairs(ivf.search_cells(index, queries, cells, 5, DIM, probes=n, rows_per_block=7, queries_per_block=2)) == pairs(exact)
+    # The same plan for one query and for many, and no literals taken from the data.
+    assert "id1" not in plan(found) and ivf.search_cells(index, queries.limit(1), cells, 5, DIM, probes=n).count() == 5
+
+
+def test_cells_of_little(spark, corpus, queries):
+    none = corpus.filter("false")
+    cells = ivf.fit_cells(none, DIM)
+    assert ivf.search_cells(ivf.with_cell(none, cells, DIM), queries, cells, 5, DIM).count() == 0
+    good = corpus.filter("log_id like 'id%'")
+    some = ivf.fit_cells(good, DIM)
+    assert ivf.search_cells(ivf.with_cell(good, some, DIM), queries.filter("false"), some, 5, DIM).count() == 0
+
+
+def test_cells_thin_out_clusters():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    rows = np.repeat(centres, 50, axis=0) + 0.1 * rng.normal(size=(2000, 32))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    assert ivf._probes(rows, centres / np.linalg.norm(centres, axis=1)[:, None], 0.95, rng) == 1
 
 
 # -- embedding --------------------------------------------------------------------------------
