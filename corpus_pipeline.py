@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loglantern.llm import bpe, exact, mixing, near, quality
-from loglantern.llm.frames import table, written
+from loglantern.llm.frames import freed, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of its shards."""
-    return mixing.mixed(docs).drop("_shard")
+    freed(spark)
+    names = docs.columns
+    return mixing.mixed(docs.toDF(*[c if c in ("doc_id", "text", "source") else f"_c{i}" for i, c in enumerate(names)])).drop("_shard").toDF(*names)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
