@@ -11,7 +11,7 @@ from ..functions.times import instant, latest
 from ..operators import classification, embedding, filters, ivf, knn, ranking, reports, retention, search
 from ..schemas import level_rank
 from ..session import scratch_path, shared_dir
-from ..sources import file_index, readers, tail, writers
+from ..sources import file_index, landing, readers, tail, writers
 from ..streaming import ingest, trends
 from . import jobs
 from .tables import as_logs, dimension, log_embeddings, logs, table
@@ -803,6 +803,49 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{path}/logs").select("log_id", "timestamp", "level", "ym")
 
 
+@_query
+def stream_retention(spark, sf):
+    """A stream's table after rows older than ten days went and small files were merged, and the next batch."""
+    path = scratch_path(spark, "landed")
+    stream = _stream(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    landing.land_stream(stream, f"{path}/logs", f"{path}/checkpoint", once=True).awaitTermination()
+    removed = landing.expire(spark, f"{path}/logs", _as_of(spark, sf), days=10)
+    landing.land(_full_logs(spark, sf).filter(filters.has_level("error")).withColumn("log_id", -F.col("log_id") - 1), f"{path}/logs", 1)
+    landing.compact(spark, f"{path}/logs")
+    rows = landing.read_landed(spark, f"{path}/logs")
+    kept = rows.select("log_id", "timestamp", "source", "level", "message")
+    return kept.withColumn("removed", F.lit(removed).cast("bigint"))
+
+
+@_query
+def view_retention(spark, sf):
+    """A maintained view of errors in the same layout, expired."""
+    path = scratch_path(spark, "landed")
+    stream = _stream(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    errors = stream.filter(filters.has_level("error")).select(*filters.VIEW_COLUMNS)
+    landing.land_stream(errors, f"{path}/errors", f"{path}/checkpoint", once=True).awaitTermination()
+    landing.expire(spark, f"{path}/errors", _as_of(spark, sf), days=5)
+    return landing.read_landed(spark, f"{path}/errors").drop("ym")
+
+
+@_query
+def os_log_arrays(spark, sf):
+    """Events written as large JSON arrays and read back in small byte ranges."""
+    path = scratch_path(spark, "arrays")
+    record = F.struct(
+        F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.when(F.col("log_id") % 3 != 0, F.col("source")).alias("source"),
+        F.concat(F.lit('say "'), F.col("message"), F.lit('" \\ ]}[{')).alias("eventMessage"),
+        F.col("host").alias("process"),
+    )
+    # One array per hour, each a line of a text file; objects of all lines of a file are records.
+    hours = F.date_trunc("hour", F.col("timestamp"))
+    arrays = _full_logs(spark, sf).groupBy(hours.alias("h")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.select("value").write.text(path)
+    found = readers.read_os_log_arrays(spark, path, _as_of(spark, sf), range_bytes=1 << 18)
+    return found.select("timestamp", "source", "message", text.fetch("metadata", "process", "").alias("process"))
+
+
 @_query
 def stream_enrich(spark, sf):
     """Vectors added to the stream by weights learnt beforehand."""

@@ -422,5 +422,16 @@ union all select 'weighted avg', round(sum(p * support) / sum(support)::double,
         "stream_ingest": _on_logs(
             "select log_id, \"timestamp\", level, cast(strftime(\"timestamp\", '%Y%m') as integer) as ym from logs"
         ),
+        "stream_retention": _on_logs(
+            f"select log_id, \"timestamp\", source, level, message, (select count(*) from logs where not ({_recent('10 days')})) as removed "
+            f"from logs where {_recent('10 days')} union all "
+            f"select -log_id - 1, \"timestamp\", source, level, message, (select count(*) from logs where not ({_recent('10 days')})) "
+            "from logs where level = 'error'"
+        ),
+        "view_retention": _on_logs(f"select {_VIEW} from logs where level = 'error' and {_recent('5 days')}"),
+        "os_log_arrays": _on_logs(
+            "select \"timestamp\", case when log_id % 3 <> 0 then source else 'system' end as source, "
+            "'say \"' || message || '\" \\ ]}[{' as message, host as process from logs"
+        ),
         "stream_enrich": _on_logs("select log_id, message, 384 as dim from logs where message <> ''"),
     }

@@ -9,6 +9,7 @@ from .. import schemas
 from ..functions import taxonomy, text
 from ..functions.times import Instant, instant
 from ..operators.filters import recent
+from . import json_ranges
 
 _OS_METADATA = ("subsystem", "category", "process", "thread", "eventType", "messageType")
 
@@ -56,13 +57,11 @@ def _entries(records: DataFrame, as_of: Instant = None) -> DataFrame:
     ).filter(F.col("timestamp").isNotNull())
 
 
-def read_os_log_arrays(spark: SparkSession, path: str, as_of: Instant = None) -> DataFrame:
-    """Files that each hold one JSON array of records. One file is one task: keep the exports of a
-    collection run in many files, or use the line reader."""
-    records = (
-        spark.read.schema(schemas.OS_LOG_RECORD).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    )
-    return _entries(records, as_of)
+def read_os_log_arrays(spark: SparkSession, path: str, as_of: Instant = None, range_bytes: int = json_ranges.RANGE_BYTES) -> DataFrame:
+    """A file, or a folder of files, that each hold one JSON array of records, however large: many tasks read one file.
+    Records that don't parse are passed over; ``json_ranges.parsed_or_refused`` tells which."""
+    records = json_ranges.read_records(spark, path, range_bytes)
+    return _entries(json_ranges.parsed(records, schemas.OS_LOG_RECORD), as_of)
 
 
 def parse_os_log_lines(lines: DataFrame, as_of: Instant = None, column: str = "value") -> DataFrame:
