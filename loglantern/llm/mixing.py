@@ -30,7 +30,9 @@ SEED = 20_240
 # Rows of a part of a source that one task puts in order.
 PART_ROWS = 50_000
 BLOCK_WORDS = 20_000
-SHARD_WORDS = 20_000_000
+# Words of a shard, more where there would be more than so many shards.
+SHARD_WORDS = 2_000_000
+MOST_SHARDS = 100_000
 # Passes that fill what the row at the cut leaves open with smaller rows.
 FILLS = 2
 
@@ -223,7 +225,7 @@ def mixed(docs: DataFrame, seed: int = SEED, part_rows: int = PART_ROWS, block_w
     # Blocks of a source: its draws dealt by hash, so many that each has about ``block_words``.
     blocks = drawn.groupBy("_key").agg(F.ceil(F.sum(F.col("_size") * F.col("_copies")) / block_words).cast("long").alias("_blocks"))
     words = drawn.agg(F.sum(F.col("_size") * F.col("_copies"))).first()[0] or 0
-    shards = max(1, math.ceil(words / shard_words))
+    shards = max(1, math.ceil(words / max(shard_words, words / MOST_SHARDS)))
     ranges = shard_ranges(blocks, shards, seed)
     places = ranges.select(F.col("_key").alias("_k"), "_shard", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_place"))
     draws = drawn.select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"), F.xxhash64("_order", "_row", "_copies").alias("_h"))
