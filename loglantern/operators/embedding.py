@@ -147,8 +147,12 @@ def with_log_id(raw: DataFrame) -> DataFrame:
 
 
 def backfill_rows(raw: DataFrame, done: DataFrame, encoder: Encoder, max_rows: int | None = None) -> DataFrame:
-    """New rows of the vector table: raw rows not yet in it, oldest first when ``max_rows`` is set."""
-    todo = pending(with_log_id(raw), done)
+    """New rows of the vector table, one per key, with ``copies``, how many raw rows share it; oldest first when ``max_rows``
+    is set. Copies merge as partial groups, so a line that repeats is encoded once and no key is crowded."""
+    keyed = with_log_id(raw).filter(text.not_empty("message"))
+    columns = [F.first(c).alias(c) for c in ("message", "timestamp", "host", "file")]
+    once = keyed.groupBy("log_id").agg(F.count(F.lit(1)).alias("copies"), *columns)
+    todo = pending(once, done)
     if max_rows is not None:
         todo = oldest(todo, max_rows)
     return embed(todo, encoder).select(
@@ -158,6 +162,7 @@ def backfill_rows(raw: DataFrame, done: DataFrame, encoder: Encoder, max_rows: i
         "host",
         "file",
         vectors.to_float("embedding").alias("embedding"),
+        "copies",
     )
 
 

@@ -476,6 +476,20 @@ def embed_backfill(spark, sf):
     return filled.select("log_id", "message", F.size("embedding").alias("dim"))
 
 
+@_query
+def backfill_copies(spark, sf):
+    """The vector table after raw rows came with copies, in two runs: one row per key, with how many rows share it."""
+    path = scratch_path(spark, "vectors")
+    raw = logs(spark, sf).withColumn("timestamp", F.col("timestamp").cast("string")).drop("log_id")
+    twice = raw.select("timestamp", "host", "file", F.lower("message").alias("message"))
+    encoder = embedding.lexical_encoder(embedding.fit_lexical(twice))
+    jobs.backfill(twice.unionByName(twice.filter("message like '%panic%'")), path, encoder)
+    jobs.backfill(twice, path, encoder)
+    stored = spark.read.parquet(path)
+    moment = F.col("timestamp").cast("timestamp_ntz").alias("timestamp")
+    return stored.select(moment, "host", "file", "message", "copies", F.size("embedding").alias("dim"))
+
+
 @_query
 def text_vector_rebuild(spark, sf):
     """The vector set rebuilt over all log texts, stored, and read back through its pointer."""
@@ -785,6 +799,15 @@ def hourly_stream(spark, sf):
     return trends.read_current(spark, f"{path}/out", "hour")
 
 
+@_query
+def daily_from_hours(spark, sf):
+    """Days from the hours that a stream keeps, with distinct sources from merged sketches."""
+    path = scratch_path(spark, "hours")
+    counts = trends.hourly(trends.event_time(_stream(spark, sf)), sketch=True)
+    trends.keep_current(counts, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
+    return trends.rolled_up(trends.read_current(spark, f"{path}/out", "hour"))
+
+
 @_query
 def error_minutes_stream(spark, sf):
     """Errors per minute as a stream; its distinct sources are a sketch, so only the errors show."""

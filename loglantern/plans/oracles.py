@@ -422,6 +422,15 @@ union all select 'weighted avg', round(sum(p * support) / sum(support)::double,
         "stream_ingest": _on_logs(
             "select log_id, \"timestamp\", level, cast(strftime(\"timestamp\", '%Y%m') as integer) as ym from logs"
         ),
+        "daily_from_hours": _on_logs(
+            "select date_trunc('day', \"timestamp\") as day, cast(count(*) as bigint) as count, "
+            f"{_BY_LEVEL}, count(distinct source) as unique_sources from logs group by 1"
+        ),
+        "backfill_copies": _on_logs(
+            "select \"timestamp\", host, file, lower(message) as message, "
+            "cast(count(*) * case when lower(message) like '%panic%' then 2 else 1 end as bigint) as copies, 384 as dim "
+            "from logs where message <> '' group by \"timestamp\", host, file, lower(message)"
+        ),
         "stream_retention": _on_logs(
             f"select log_id, \"timestamp\", source, level, message, (select count(*) from logs where not ({_recent('10 days')})) as removed "
             f"from logs where {_recent('10 days')} union all "

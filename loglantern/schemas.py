@@ -44,6 +44,7 @@ EMBEDDINGS = _struct(
     host=_S,
     file=_S,
     embedding=T.ArrayType(T.FloatType()),
+    copies=_L,
 )
 
 TEXT_VECTORS = _struct(text=_S, embedding=T.ArrayType(T.FloatType()), updated_at=_TS)
