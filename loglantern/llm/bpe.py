@@ -46,7 +46,7 @@ class Vocabulary:
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self.token_bytes = np.frombuffer(b"".join(by_rank.get(rank, b"") for rank in range(self.size)), np.uint8)
         self.pair_rank: dict[int, int] = {}
-        self.words = Remembered(self._encode_pieces, 500_000)
+        self.words = Remembered(self._encode_pieces, 300_000)
 
     def _learn_pairs(self) -> None:
         """The ranks of pairs, which only encoding needs."""
