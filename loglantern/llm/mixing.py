@@ -7,6 +7,7 @@
    node the blocks of the left half are drawn from a multivariate hypergeometric distribution.
 4. Each shard draws its blocks, no two shards the same, from a permutation of the source's blocks, and shuffles its rows.
 
+``mix_plan`` ends with step 2, which decides all that it returns; steps 3 and 4 place the draws in ``mixed``.
 Every draw depends only on the seed and the rows, so reruns agree.
 """
 

@@ -1,15 +1,15 @@
-"""Repeated passages by suffix order and longest previous factors.
+"""Repeated passages by equal strings of fixed length, in the order of their suffixes.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller ``doc_id``. Strings are
-judged on the input. All documents together have one suffix array; it is built in parts:
+judged on the input. No whole suffix array and no factor lengths are made: only strings of ``LENGTH`` bytes matter, in parts:
 
 1. Each string of ``LENGTH`` bytes belongs to the least hash of the ``GRAM``-byte strings in it. Strings that are equal
    have the same one, and neighbouring strings mostly share theirs, so they travel as one stretch of text.
 2. A first pass finds the hashes that occur in different texts. Only stretches of those can matter; a bitmap of fixed size
    keeps most others back. It only saves work: a hash that passes by chance costs a stretch, none is held back wrongly.
 3. Stretches are dealt by their hash. A task puts their suffixes in order, by the first ``LENGTH`` bytes and then by
-   document. The longest previous factor of a suffix, as far as it matters, follows from its previous smaller position
-   in that order: it is at least ``LENGTH`` if the head of its run of equal strings is an earlier document.
+   document. A string goes if the head of its run of equal strings is an earlier document, which is what a longest
+   previous factor of ``LENGTH`` bytes or more would say.
    A hash with more than ``HOT`` stretches is not dealt as one: where texts are read, strings that an earlier document of
    the same slice has are told at once, and the others go on as single strings, dealt by a hash of their own.
 4. The spans that are covered are cut out of the texts.
