@@ -1,13 +1,14 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 1. Each source gets a target of words: its share by weight, at most ``CAP`` times its size, the excess shared anew.
-2. Its rows are put in an order that a keyed hash gives, and drawn from the front until the target is met: all rows once
-   if the target is above the size, and then some once more. Draws are cut into blocks of equal numbers of words.
-3. The exact number of blocks of each source is split among the output shards: a tree halves the shards, and at each
-   node the blocks of the left half are drawn from a multivariate hypergeometric distribution.
+2. Its rows, in an order that a keyed hash gives, are cut into blocks of about ``BLOCK_WORDS`` words. Its quota is a number
+   of blocks: every block once if the target is above the size, then blocks in the order of another hash as long as they fit,
+   and at last one block in part, whose rows bring the words near the target.
+3. The exact quota of each source is split among the output shards: a tree halves the shards, and at each node the
+   blocks of the left half are drawn from a multivariate hypergeometric distribution.
 4. Each shard draws its blocks, no two shards the same, from a permutation of the source's blocks, and shuffles its rows.
 
-``mix_plan`` ends with step 2, which decides all that it returns; steps 3 and 4 place the draws in ``mixed``.
+``mix_plan`` counts what the shards of all leaves draw; ``mixed`` gives their rows.
 Every draw depends only on the seed and the rows, so reruns agree.
 """
 
@@ -34,8 +35,13 @@ BLOCK_WORDS = 20_000
 # Words of a shard, more where there would be more than so many shards.
 SHARD_WORDS = 2_000_000
 MOST_SHARDS = 100_000
-# Passes that fill what the row at the cut leaves open with smaller rows.
-FILLS = 2
+# Passes that fill what the row or block at the cut leaves open with smaller ones.
+FILLS = 3
+# The number that stands for a block drawn in part.
+TRIMMED = -1
+# Sources of more bytes than this aren't broadcast but joined under so many numbers.
+BROADCAST_BYTES = 16 * 2**20
+SALTS = 32
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,13 +84,18 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int
     return open_.select("_source", "_source_size", target.alias("_target"))
 
 
-def _before(rows: DataFrame, flag: Column) -> DataFrame:
-    """``rows`` with ``_before``: words of the flagged rows of the same source that come earlier in its order.
+def _interval(parts: Column) -> Column:
+    """Number of the part that ``_order`` falls in, of ``parts`` intervals of the order."""
+    share = (F.shiftright(F.col("_order"), 32) + F.lit(2**31)).cast("double") / F.lit(float(2**32))
+    return F.floor(share * F.greatest(F.ceil(parts), F.lit(1))).cast("long")
+
+
+def _before(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows`` with ``_before``: sum of ``size`` over the rows of the same source that come earlier in its order.
 
     A source is cut into parts by ranges of the hash, so that its rows are never all in one task: totals by part are
     summed over the parts, and rows within their part.
     """
-    size = F.when(flag, F.col("_size")).otherwise(0)
     totals = rows.groupBy("_key", "_part").agg(F.sum(size).alias("_words"))
     earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
@@ -96,33 +107,34 @@ def _before(rows: DataFrame, flag: Column) -> DataFrame:
     return joined.withColumn("_before", F.col("_start") + F.col("_within")).drop("_within", "_start", "_k", "_p")
 
 
-def draw(rows: DataFrame, fills: int = FILLS) -> DataFrame:
-    """``rows`` with ``_copies``, how often each is taken (0 to ``CAP``).
+def fill(rows: DataFrame, fills: int = FILLS) -> DataFrame:
+    """``rows`` with ``_more``, whether each is taken, and ``_room`` reduced by what its source takes.
 
-    Rows have ``_key`` (source), ``_part``, ``_order`` (hash), ``_row``, ``_size``, ``_source_size`` and ``_target``. Full
-    passes take every row; the rest of the target takes rows in order as long as they fit, and again from those left over
-    what fits in the room that remains. At last one more row is taken, the best for the rest, if it brings the sum closer.
+    Rows have ``_key`` (source), ``_part``, ``_order`` (hash), ``_row``, ``_size`` and ``_room``, which is the same for all
+    rows of a source. They are taken in order as long as they fit, and again from those left over what fits in the room
+    that remains.
     """
-    passes = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0)
-    rows = rows.withColumn("_copies", passes.cast("int"))
-    rows = rows.withColumn("_room", F.col("_target") - F.col("_copies") * F.col("_source_size")).withColumn("_more", F.lit(False))
+    rows = rows.withColumn("_more", F.lit(False))
     for k in range(fills):
         fits = ~F.col("_more") & (F.col("_size") > 0) & (F.col("_size") <= F.col("_room"))
-        counted = _before(rows, fits)
-        taken = fits & (F.col("_before") + F.col("_size") <= F.col("_room"))
-        marked = counted.withColumn("_now", taken)
+        counted = _before(rows, F.when(fits, F.col("_size")).otherwise(0))
+        marked = counted.withColumn("_now", fits & (F.col("_before") + F.col("_size") <= F.col("_room")))
         used = marked.filter("_now").groupBy(F.col("_key").alias("_k")).agg(F.sum("_size").alias("_used"))
         marked = marked.join(used, F.col("_key") == F.col("_k"), "left")
         rows = marked.withColumn("_more", F.col("_more") | F.col("_now")).withColumn(
             "_room", F.col("_room") - F.coalesce(F.col("_used"), F.lit(0))
         )
-        rows = written(rows.drop("_now", "_k", "_used", "_before"), f"draw{k}")
+        rows = written(rows.drop("_now", "_k", "_used", "_before"), f"fill{k}")
+    return rows
+
+
+def closest(rows: DataFrame) -> DataFrame:
+    """Filled ``rows`` where each source takes one row more, the best for its room, if that brings the sum closer."""
     left = rows.filter(~F.col("_more") & (F.col("_size") > 0)).groupBy(F.col("_key").alias("_k"))
     best = left.agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_room")).alias("_off"), "_order", "_row")).alias("_best"))
     joined = rows.join(best, F.col("_key") == F.col("_k"), "left")
     closer = (F.col("_row") == F.col("_best._row")) & (F.col("_best._off") < F.abs(F.col("_room")))
-    more = F.col("_more") | F.coalesce(closer, F.lit(False))
-    return joined.withColumn("_copies", F.col("_copies") + more.cast("int")).drop("_k", "_best", "_more", "_room")
+    return joined.withColumn("_more", F.col("_more") | F.coalesce(closer, F.lit(False))).drop("_k", "_best")
 
 
 def split_quotas(quotas: Sequence[int], first: int, last: int, seed: int) -> Iterator[tuple[int, list[int]]]:
@@ -186,32 +198,97 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
     return written(docs.select("*", *extra), "sized")
 
 
-def _drawn(sized: DataFrame, part_rows: int) -> DataFrame:
-    """The stored rows without their text, and ``_source_size``, ``_target`` and ``_copies``."""
+def _beside(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their source (stored, one row for each ``_k``).
+
+    The sources are broadcast if their measured size is small; otherwise they are repeated under ``SALTS`` numbers, so
+    that a source with many rows is joined in as many tasks.
+    """
+    size = sources.agg(F.sum(F.octet_length("_k") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(sources), F.col("_key") == F.col("_k")).drop("_k")
+    salted = sources.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.col("_key") == F.col("_k")) & (F.pmod("_row", F.lit(SALTS)) == F.col("_s"))
+    return rows.join(salted, same).drop("_k", "_s")
+
+
+def _in_blocks(sized: DataFrame, part_rows: int, block_words: int) -> DataFrame:
+    """The stored rows without their text, with ``_source_size``, ``_target`` and ``_block``, stored.
+
+    In the order of the hash, a block of a part ends where its words pass the next multiple of ``block_words``. Rows stay
+    whole, so a row of many words may be most of a block.
+    """
     slim = sized.select("doc_id", "source", "_size", "_key", "_order", "_row")
     by_source = slim.groupBy("source", "_key").agg(F.sum("_size").alias("_source_size"), F.count("*").alias("_n"))
     goal = targets(by_source.select(F.col("source").alias("_source"), "_source_size"))
-    of = by_source.select("_key", "_n", F.col("source").alias("_s")).join(goal, F.col("_s").eqNullSafe(F.col("_source")))
-    of = of.select(F.col("_key").alias("_k"), "_n", "_source_size", "_target")
-    joined = slim.join(of, F.col("_key") == F.col("_k")).drop("_k", "source")
-    # A part is an interval of the order.
-    parts = F.greatest(F.ceil(F.col("_n") / part_rows), F.lit(1))
-    part = F.floor((F.shiftright(F.col("_order"), 32) + F.lit(2**31)).cast("double") / F.lit(float(2**32)) * parts)
-    return draw(joined.withColumn("_part", part.cast("long")).drop("_n"))
+    of = by_source.select(F.col("_key").alias("_k"), "_n", F.col("source").alias("_s")).join(goal, F.col("_s").eqNullSafe(F.col("_source")))
+    of = written(of.select("_k", "_n", "_source_size", "_target"), "goals")
+    parted = _beside(slim.drop("source"), of).withColumn("_part", _interval(F.col("_n") / part_rows))
+    within = Window.partitionBy("_key", "_part").orderBy("_order", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.floor(F.coalesce(F.sum("_size").over(within), F.lit(0)) / block_words).cast("long")
+    return written(parted.withColumn("_block", F.shiftleft("_part", 40) + place).drop("_part", "_n"), "rows")
+
+
+def _draw(rows: DataFrame, part_rows: int, block_words: int, shard_words: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """What the shards draw: ``(dealt, picked, number of shards)``.
+
+    ``dealt`` has ``_key``, ``_block``, ``_copy`` and ``_shard``, one row for each block drawn; block ``TRIMMED`` stands for
+    the one block of its source that is drawn in part, whose rows are in ``picked`` (``_key``, ``_row``).
+    """
+    # As many as the source has blocks, about, in intervals of ``part_rows``.
+    parts = F.col("_source_size") / (block_words * part_rows)
+    passes = F.floor(F.col("_target") / F.col("_source_size")).cast("int")
+    blocks = rows.filter("_size > 0").groupBy("_key", "_block").agg(
+        F.sum("_size").alias("_size"), F.count("*").alias("_rows"), F.first("_source_size").alias("_source_size"), F.first("_target").alias("_target")
+    )
+    blocks = blocks.withColumn("_passes", passes).withColumn("_room", F.col("_target") - F.col("_passes") * F.col("_source_size"))
+    blocks = blocks.withColumn("_order", F.xxhash64("_key", "_block", F.lit(seed))).withColumn("_row", F.col("_block"))
+    filled = fill(written(blocks.withColumn("_part", _interval(parts)).drop("_target"), "blocks"))
+    filled = filled.withColumn("_copies", F.col("_passes") + F.col("_more").cast("int"))
+
+    # Of the blocks left over, the one of most rows is drawn in part: so large rows don't decide how near the target is.
+    open_ = filled.filter(~F.col("_more") & (F.col("_room") > 0)).groupBy(F.col("_key").alias("_k"))
+    cut = open_.agg(F.max_by(F.struct("_block", "_room", "_source_size"), F.struct("_rows", "_order", "_block")).alias("_cut"))
+    cut = cut.select("_k", F.col("_cut._block").alias("_b"), F.col("_cut._room").alias("_room"))
+    inside = rows.filter("_size > 0").join(cut, (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")))
+    inside = inside.select("_key", "_row", "_order", "_size", "_source_size", "_room", F.lit(0).cast("long").alias("_part"))
+    picked = written(closest(fill(written(inside, "inside"))).filter("_more").select("_key", "_row", "_source_size"), "picked")
+
+    whole = filled.filter("_copies > 0").select("_key", "_block", "_source_size", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    some = picked.select("_key", F.lit(TRIMMED).cast("long").alias("_block"), "_source_size", F.lit(0).alias("_copy")).distinct()
+    draws = whole.unionByName(some).withColumn("_order", F.xxhash64("_key", "_block", "_copy", F.lit(seed + 1)))
+    draws = written(draws.withColumn("_row", F.col("_block")).withColumn("_part", _interval(CAP * parts)).drop("_source_size"), "draws")
+    # The place of a draw among those of its source: the permutation of the blocks.
+    placed = _before(draws, F.lit(1))
+    words = filled.agg(F.sum(F.col("_size") * F.col("_copies"))).first()[0] or 0
+    shards = max(1, math.ceil(words / max(shard_words, words / MOST_SHARDS)))
+    ranges = shard_ranges(draws.groupBy("_key").agg(F.count("*").alias("_blocks")), shards, seed)
+    places = ranges.select(F.col("_key").alias("_k"), "_shard", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_place"))
+    dealt = placed.join(places, (F.col("_key") == F.col("_k")) & (F.col("_before") == F.col("_place")))
+    return written(dealt.select("_key", "_block", "_copy", "_shard"), "dealt"), picked.drop("_source_size"), shards
 
 
-def mix_plan(docs: DataFrame, seed: int = SEED, part_rows: int = PART_ROWS) -> DataFrame:
-    """Per row of ``docs``: doc_id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words taken).
+def mix_plan(
+    docs: DataFrame, seed: int = SEED, part_rows: int = PART_ROWS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, ``size``, ``source_size``, ``target``, ``copies`` (in all shards) and ``taken`` (words).
 
     Null texts have size 0 and are never taken, nor are others without a word. A null source is a source of its own.
     """
-    return _drawn(_sized(docs.select("doc_id", "text", "source"), seed), part_rows).select(
+    rows = _in_blocks(_sized(docs.select("doc_id", "text", "source"), seed), part_rows, block_words)
+    dealt, picked, _ = _draw(rows, part_rows, block_words, shard_words, seed)
+    whole = dealt.filter(F.col("_block") != TRIMMED).groupBy(F.col("_key").alias("_k"), F.col("_block").alias("_b")).agg(F.count("*").alias("_whole"))
+    some = picked.join(dealt.filter(F.col("_block") == TRIMMED).select(F.col("_key").alias("_t")), F.col("_key") == F.col("_t"))
+    counted = rows.join(whole, (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
+    counted = counted.join(some.select(F.col("_row").alias("_r")), F.col("_row") == F.col("_r"), "left")
+    copies = F.coalesce("_whole", F.lit(0)) + F.col("_r").isNotNull().cast("long")
+    return counted.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(0)).select(
         "doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
-        F.col("_copies").cast("long").alias("copies"),
-        (F.col("_copies") * F.col("_size")).cast("long").alias("taken"),
+        F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
     )
 
 
@@ -222,19 +299,13 @@ def mixed(docs: DataFrame, seed: int = SEED, part_rows: int = PART_ROWS, block_w
     """
     plain = plainly(docs, "doc_id", "text", "source")
     sized = _sized(plain, seed)
-    drawn = written(_drawn(sized, part_rows).filter("_copies > 0").select("_row", "_key", "_order", "_size", "_copies"), "drawn")
-    # Blocks of a source: its draws dealt by hash, so many that each has about ``block_words``.
-    blocks = drawn.groupBy("_key").agg(F.ceil(F.sum(F.col("_size") * F.col("_copies")) / block_words).cast("long").alias("_blocks"))
-    words = drawn.agg(F.sum(F.col("_size") * F.col("_copies"))).first()[0] or 0
-    shards = max(1, math.ceil(words / max(shard_words, words / MOST_SHARDS)))
-    ranges = shard_ranges(blocks, shards, seed)
-    places = ranges.select(F.col("_key").alias("_k"), "_shard", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_place"))
-    draws = drawn.select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"), F.xxhash64("_order", "_row", "_copies").alias("_h"))
-    draws = draws.join(blocks.select(F.col("_key").alias("_b"), "_blocks"), F.col("_key") == F.col("_b"))
-    draws = draws.withColumn("_block", F.pmod(F.xxhash64("_h", "_copy"), F.col("_blocks")))
-    # The permutation of the blocks: dealt by hash, they are in random order already.
-    at = (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_place"))
-    dealt = draws.join(places, at).select(F.col("_row").alias("_of"), "_shard", F.xxhash64("_h", "_copy", "_shard").alias("_shuffle"))
-    whole = sized.select("_row", *plain.columns)
-    out = whole.join(dealt, F.col("_row") == F.col("_of")).select(*plain.columns, "_shard", "_shuffle")
+    rows = _in_blocks(sized, part_rows, block_words)
+    dealt, picked, shards = _draw(rows, part_rows, block_words, shard_words, seed)
+    of = dealt.select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), "_copy", "_shard")
+    whole = rows.filter("_size > 0").join(of, (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")))
+    some = picked.join(of.filter(F.col("_b") == TRIMMED), F.col("_key") == F.col("_k"))
+    names = [F.col("_row").alias("_of"), "_copy", "_shard"]
+    drawn = whole.select(*names).unionByName(some.select(*names))
+    out = sized.select("_row", "_order", *plain.columns).join(drawn, F.col("_row") == F.col("_of"))
+    out = out.select(*plain.columns, "_shard", F.xxhash64("_order", "_copy", "_shard").alias("_shuffle"))
     return out.repartition(shards, "_shard").sortWithinPartitions("_shard", "_shuffle").drop("_shuffle").toDF(*docs.columns, "_shard")

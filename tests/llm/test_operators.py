@@ -380,11 +380,38 @@ def test_mix(docs, empty, rows):
     plan = got.collect()
     assert all(abs(targets[r.source_size] - r.target) < 1e-6 and 0 <= r.taken <= 2 * r["size"] for r in plan)
     assert sorted(r["size"] for r in plan) == sorted(len(WORD.findall(r[1] or "")) for r in rows)
-    mixed = mixing.mixed(docs, block_words=50, shard_words=5000)
-    assert mixed.select(F.sum(mixing.word_count())).first()[0] == sum(r.taken for r in plan)
+    near = collections.defaultdict(list)
+    for r in plan:
+        near[r.source_size].append(r)
+    for size, of in near.items():
+        # Nothing that is left over would bring the words closer by more than a row.
+        assert abs(sum(r.taken for r in of) - targets[size]) <= max(r["size"] for r in of) / 2 + 1
     assert mixing.mix_plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("block_words, shard_words", [(50, 500), (400, 10**9), (10**9, 10**9)])
+def test_mix_is_what_its_shards_draw(docs, block_words, shard_words):
+    ways = {"block_words": block_words, "shard_words": shard_words, "part_rows": 7}
+    plan, mixed = mixing.mix_plan(docs, **ways), mixing.mixed(docs, **ways)
+    key = [F.coalesce(F.col("doc_id"), F.lit(-99)).alias("doc_id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha")]
+    drawn = {(r.doc_id, r.sha): r["count"] for r in mixed.groupBy(*key).count().collect()}
+    sizes = {(r.doc_id, r.sha): r.words for r in docs.groupBy(*key).agg(F.sum(mixing.word_count()).alias("words")).collect()}
+    assert set(drawn) <= {k for k, words in sizes.items() if words}
+    assert mixed.select(F.sum(mixing.word_count())).first()[0] == plan.agg(F.sum("taken")).first()[0]
+    assert sum(drawn.values()) == plan.agg(F.sum("copies")).first()[0] and plan.agg(F.max("copies")).first()[0] <= 2
+    rows = mixing._in_blocks(mixing._sized(docs.select("doc_id", "text", "source"), 5), 7, block_words)
+    dealt, picked, shards = mixing._draw(rows, 7, block_words, shard_words, 5)
+    places = [tuple(r) for r in dealt.collect()]
+    # Each draw of a block goes to one shard, and the shards get the same number of blocks, to within what halving leaves.
+    assert len({r[:3] for r in places}) == len(places)
+    of_shard = collections.Counter(r[3] for r in places)
+    assert max(of_shard) < shards and max(of_shard.values()) - min(of_shard[i] for i in range(shards)) <= 4
+    # A block has its words, and one row more at most.
+    largest = rows.agg(F.max("_size")).first()[0]
+    assert rows.groupBy("_key", "_block").agg(F.sum("_size").alias("n")).agg(F.max("n")).first()[0] < block_words + largest
+    assert picked.count() == picked.distinct().count()
+
+
 def test_quotas_are_split_exactly():
     quotas = [17, 0, 5, 100]
     shards = dict(mixing.split_quotas(quotas, 0, 7, 1))
@@ -393,6 +420,17 @@ def test_quotas_are_split_exactly():
     assert max(totals) - min(totals) <= 2
 
 
+def test_splitting_draws_without_replacement():
+    """Over many seeds a half draws each source as often as blocks taken one by one would."""
+    quotas, seeds = [3, 1, 6], 4000
+    counts = collections.Counter(tuple(dict(mixing.split_quotas(quotas, 0, 2, seed))[0]) for seed in range(seeds))
+    ways = collections.Counter()
+    for half in itertools.combinations([0] * 3 + [1] + [2] * 6, 5):
+        ways[tuple(half.count(i) for i in range(3))] += 1
+    assert set(counts) <= set(ways)
+    assert all(abs(counts[k] / seeds - n / sum(ways.values())) < 0.03 for k, n in ways.items())
+
+
 def test_language(spark, docs, empty, sf_dir):
     automaton = language.Automaton([1, 2, 1, 2, 3], 4).table
 
