@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import taxonomy, text, vectors
 from ..functions.times import instant, latest
-from ..operators import classification, embedding, filters, ivf, knn, ranking, reports, retention, search
+from ..operators import classification, embedding, filters, ivf, knn, quantised, ranking, reports, retention, search
 from ..schemas import level_rank
 from ..session import scratch_path, shared_dir
 from ..sources import file_index, landing, readers, tail, writers
@@ -411,6 +411,17 @@ def knn_blocks(spark, sf):
     return near.select("qid", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
+@_query
+def knn_quantised(spark, sf):
+    """The five nearest of every hundredth vector, by a first pass over vectors stored as bytes."""
+    given = table(spark, sf, "embeddings")
+    dim, path = dimension(given), scratch_path(spark, "quantised")
+    quantised.store_coded(given, path, dim, "vec_id")
+    asked = given.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "qid")
+    near = quantised.search(*quantised.open_store(spark, path), asked, 5, dim, corpus_key="vec_id")
+    return near.select("qid", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
 @_query
 def knn_texts(spark, sf):
     """Neighbours with their messages looked up."""

@@ -321,6 +321,7 @@ order by list_cosine_similarity(embedding, (select embedding::double[] from embe
         ),
         "knn_batch": knn,
         "knn_blocks": knn,
+        "knn_quantised": f"{knn} where qid % 100 = 0",
         "knn_texts": f"with {_LOGS} select n.qid, n.vec_id, n.rank, l.message from ({_neighbours(3)}) n "
         "join logs l on l.log_id = n.vec_id",
         "pending_messages": _on_logs(
