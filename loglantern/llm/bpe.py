@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from loglantern.llm.frames import trimmed
 from loglantern.llm.pieces import Remembered, balanced
 
 # Words up to so many bytes share an array of trees.
@@ -279,7 +280,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", to: st
                     arrays.append(_bytes(vocabulary, arrays[-1]))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -296,7 +297,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids", to: s
                 arrays = [batch.column(i).slice(first, last - first) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*arrays, _bytes(vocabulary, column.slice(first, last - first))], names=[*names, to])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(trimmed(run), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loglantern.llm.frames import written
+from loglantern.llm.frames import trimmed, written
 from loglantern.llm.pieces import balanced
 
 # Bytes of text that a partition should take.
@@ -100,7 +100,7 @@ def _entries(docs: DataFrame) -> tuple[DataFrame, str, str]:
                 ]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *arrays], names=[*rows.schema.names, *(f.name for f in extra)])
 
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *extra])), text, key
+    return plain.mapInArrow(trimmed(run), T.StructType([*plain.schema.fields, *extra])), text, key
 
 
 def _node(text: str, depth: int) -> Column:
@@ -164,7 +164,7 @@ def _grouped(docs: DataFrame, leaf_bytes: int) -> tuple[DataFrame, DataFrame, st
         columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), table.column("_id").type, pa.int64(), pa.bool_(), pa.string()))]
         yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return entries, dealt.mapInArrow(run, schema), key
+    return entries, dealt.mapInArrow(trimmed(run), schema), key
 
 
 def exact_groups(docs: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loglantern.llm import texts
-from loglantern.llm.frames import plainly, written
+from loglantern.llm.frames import plainly, trimmed, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -133,7 +133,7 @@ def document_frequencies(docs: DataFrame, rare: float = RARE) -> Weights:
             total += np.frombuffer(counts, "<u4")
         return pd.DataFrame({"bucket": np.flatnonzero(total > least) + int(group["block"].iloc[0]) * BLOCK})
 
-    partial = source.mapInArrow(count, "block int, counts binary")
+    partial = source.mapInArrow(trimmed(count), "block int, counts binary")
     buckets = partial.groupBy("block").applyInPandas(high_in, "bucket long")
     high = np.zeros(BUCKETS, bool)
     high[buckets.toPandas()["bucket"].to_numpy(np.int64)] = True
@@ -149,7 +149,7 @@ def document_frequencies(docs: DataFrame, rare: float = RARE) -> Weights:
                 found, n = np.unique(hashed[open_[_bucket(hashed)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    exact = source.mapInArrow(possible, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toPandas()
+    exact = source.mapInArrow(trimmed(possible), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toPandas()
     value = 1 + np.log(n / exact["n"].to_numpy(float)) / np.log(rare)
     return Weights(exact["shingle"].to_numpy(np.int64).view(np.uint64), np.clip(value, 1.0, 2.0))
 
@@ -243,7 +243,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,7 +267,7 @@ def _vectors(wanted: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
                 out = [_packed(hashed[a:b], weight[a:b]) for a, b in zip(begin[:-1], begin[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("_node").slice(first, last - first), pa.array(out, pa.binary())], names=["_node", "_vector"])
 
-    return source.mapInArrow(run, "_node binary, _vector binary")
+    return source.mapInArrow(trimmed(run), "_node binary, _vector binary")
 
 
 def _packed(hashed: np.ndarray, weight: np.ndarray) -> bytes:
@@ -303,7 +303,7 @@ def _measured(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
             found = [_similarity(_unpacked(a[i].as_py()), _unpacked(b[i].as_py())) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), pa.array(found, pa.float64())], names=["_a", "_b", "_j"])
 
-    return written(both.select("_a", "_b", "_va", "_vb").mapInArrow(run, "_a binary, _b binary, _j double"), "measured")
+    return written(both.select("_a", "_b", "_va", "_vb").mapInArrow(trimmed(run), "_a binary, _b binary, _j double"), "measured")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -416,7 +416,7 @@ def _more_links(stars: DataFrame, roots: DataFrame, sampled: DataFrame, vectors:
         if rest:
             yield compare(pd.concat(rest, ignore_index=True))
 
-    return work.mapInPandas(run, "_a binary, _b binary")
+    return work.mapInPandas(trimmed(run), "_a binary, _b binary")
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
