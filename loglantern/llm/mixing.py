@@ -19,9 +19,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loglantern.llm.frames import plainly, written
+from loglantern.llm.frames import plainly, trimmed, written
 
 WEIGHTS = (3, 1, 2)
 # Words of the mix for each word of the input, as a fraction.
@@ -51,24 +51,37 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``_rank``: the place of each source by code point from 0, null last.
+
+    Sources are sorted in ranges. A place is that within its range behind all the ranges before, of which only the
+    number of rows is summed: one row for each range.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    ordered = sizes.orderBy(F.col("_source").asc_nulls_last()).select("*", F.spark_partition_id().alias("_range"), at.alias("_at"))
+    ordered = written(ordered, "ranked")
+    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ordered.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    ahead = ranges.select("_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"))
+    joined = ordered.join(F.broadcast(ahead), F.col("_range") == F.col("_r"))
+    return joined.withColumn("_rank", F.col("_ahead") + F.col("_at")).drop("_range", "_at", "_r", "_ahead")
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP) -> DataFrame:
     """``_source``, ``_source_size`` and ``_target`` from one row for each source (``_source``, ``_source_size``).
 
     Sources take the weights in turn, by code point, null last. Sources without words get 0. Ranks come from a sort in
     ranges, and each round of sharing anew is one total; no task sees all sources.
     """
-    spark, n = sizes.sparkSession, len(weights)
-    kind = sizes.schema["_source"].dataType
-    ranked = sizes.orderBy(F.col("_source").asc_nulls_last()).select("_source", "_source_size").rdd.zipWithIndex()
-    schema = T.StructType([T.StructField("_source", kind), T.StructField("_source_size", T.LongType()), T.StructField("_weight", T.LongType())])
-    rows = ranked.map(lambda r: (r[0][0], r[0][1], int(weights[r[1] % n])))
+    turn = F.pmod("_rank", F.lit(len(weights))).cast("int")
+    own = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), turn + 1).cast("long")
     # Stored: the rounds below read it again and again.
-    open_ = written(spark.createDataFrame(rows, schema).withColumn("_full", F.col("_source_size") == 0), "sources")
+    open_ = written(_ranked(sizes).select("_source", "_source_size", own.alias("_weight")), "sources")
     total = open_.agg(F.sum("_source_size")).first()[0] or 0
     wanted = share[0] * total / share[1]
     rate = 0.0
     # Sources at their cap stay there, as the rate only grows: each round fills some more or is the last.
-    capped = F.col("_full")
+    capped = F.col("_source_size") == 0
     while True:
         full, weight = open_.agg(
             F.sum(F.when(capped, cap * F.col("_source_size")).otherwise(0)), F.sum(F.when(capped, 0).otherwise(F.col("_weight")))
@@ -181,8 +194,8 @@ def shard_ranges(blocks: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
                     yield pd.DataFrame({"_key": list(keys), "_shard": shard, "_n": q})
 
     nodes = node.select(F.col("_all._key").alias("_keys"), F.col("_all._blocks").alias("_quotas"))
-    nodes = nodes.mapInPandas(top, schema).repartition(middle, "_first")
-    found = nodes.mapInPandas(leaves, "_key string, _shard long, _n long").filter("_n > 0")
+    nodes = nodes.mapInPandas(trimmed(top), schema).repartition(middle, "_first")
+    found = nodes.mapInPandas(trimmed(leaves), "_key string, _shard long, _n long").filter("_n > 0")
     upto = Window.partitionBy("_key").orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
     return found.withColumn("_to", F.sum("_n").over(upto)).select("_key", "_shard", (F.col("_to") - F.col("_n")).alias("_from"), "_to")
 
