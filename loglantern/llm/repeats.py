@@ -1,18 +1,19 @@
-"""Repeated passages by equal strings of fixed length, in the order of their suffixes.
+"""Repeated passages by previous and next smaller positions in the order of suffixes.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller ``doc_id``. Strings are
-judged on the input. No whole suffix array and no factor lengths are made: only strings of ``LENGTH`` bytes matter, in parts:
+judged on the input. Of the longest previous factor of a place only whether it reaches ``LENGTH`` bytes matters, so
+suffixes are ordered by that many bytes, in parts:
 
 1. Each string of ``LENGTH`` bytes belongs to the least hash of the ``GRAM``-byte strings in it. Strings that are equal
    have the same one, and neighbouring strings mostly share theirs, so they travel as one stretch of text.
 2. A first pass finds the hashes that occur in different texts. Only stretches of those can matter; a bitmap of fixed size
    keeps most others back. It only saves work: a hash that passes by chance costs a stretch, none is held back wrongly.
-3. Stretches are dealt by their hash. A task puts their suffixes in order, by the first ``LENGTH`` bytes and then by
-   document. A string goes if the head of its run of equal strings is an earlier document, which is what a longest
-   previous factor of ``LENGTH`` bytes or more would say.
+3. Stretches are dealt by their hash. A task puts their suffixes in order. Where neighbours share fewer than ``LENGTH``
+   bytes a run ends. A place has a factor of ``LENGTH`` bytes from an earlier document if its run holds a smaller one
+   before it or after it in suffix order; which of them is nearest makes no difference to a length that is cut there.
    A hash with more than ``HOT`` stretches is not dealt as one: where texts are read, strings that an earlier document of
    the same slice has are told at once, and the others go on as single strings, dealt by a hash of their own.
-4. The spans that are covered are cut out of the texts.
+4. The spans that are covered are cut out of the texts, so the first copy stays.
 """
 
 from __future__ import annotations
@@ -180,12 +181,25 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def has_smaller(run: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Whether a smaller document lies before or after each place of a suffix order within its run.
+
+    ``run`` numbers the runs of suffixes that share ``LENGTH`` bytes, in ascending order; ``document`` numbers the documents
+    from 0. Runs are moved apart, so that a running minimum of the whole order starts anew with each.
+    """
+    apart = (document.max() + 1 if len(document) else 1) * run
+    previous = np.minimum.accumulate(document - apart) + apart
+    following = np.minimum.accumulate((document + apart)[::-1])[::-1] - apart
+    return np.minimum(previous, following) < document
+
+
 def _earlier(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretch, and first and last place in it, of the runs of strings that an earlier document has too."""
     count = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(sizes)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     at = begin[owner] + place
+    document = np.unique(ids, return_inverse=True)[1]
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     # The words of 8 bytes that start at each place, most significant byte first.
     word = np.zeros(len(data), np.uint64)
@@ -212,12 +226,7 @@ def _earlier(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, ids: np.nda
     none = np.zeros(0, np.int64)
     if not len(order):
         return none, none, none
-    by = np.lexsort((ids[owner[order]], rank))
-    order, rank = order[by], rank[by]
-    head = np.ones(len(order), bool)
-    head[1:] = rank[1:] != rank[:-1]
-    first = ids[owner[order]][np.flatnonzero(head)][np.cumsum(head) - 1]
-    late = np.sort(order[ids[owner[order]] > first])
+    late = np.sort(order[has_smaller(rank, document[owner[order]])])
     if not len(late):
         return none, none, none
     new = np.ones(len(late), bool)

@@ -318,6 +318,14 @@ def test_repeats_match_all_strings(docs, empty, rows):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_smaller_positions_match_plain_loops():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 400):
+        run, document = np.sort(rng.integers(0, 1 + n // 4, n)), rng.integers(0, 1 + n // 8, n)
+        plain = [any(run[j] == run[i] and document[j] < document[i] for j in range(n)) for i in range(n)]
+        assert repeats.has_smaller(run, document).tolist() == plain
+
+
 def test_hot_passages_are_dealt_by_their_strings(spark, docs):
     rng = random.Random(11)
     shared = _sentence(rng, 30)
