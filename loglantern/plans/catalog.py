@@ -617,6 +617,28 @@ def classifier_predictions(spark, sf):
     return _trained(spark, sf).drop("embedding")
 
 
+@_query
+def classifier_checks(spark, sf):
+    """By label: rows, those whose probabilities sum to 1, and those predicted to be of a class with the greatest one."""
+    scored = _trained(spark, sf)
+    shares = {c.removeprefix("proba_"): F.col(c) for c in scored.columns if c.startswith("proba_")}
+    total = sum(shares.values(), F.lit(0.0))
+    own = F.element_at(F.create_map(*[part for name, share in shares.items() for part in (F.lit(name), share)]), F.col("prediction"))
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("n_sum_one"),
+        F.count_if(own == F.array_max(F.array(*shares.values()))).alias("n_greatest"),
+    )
+
+
+@_query
+def largest_entry(spark, sf):
+    """The name of each vector's greatest entry, the first of equal ones."""
+    given = table(spark, sf, "embeddings")
+    names = [f"e{i}" for i in range(dimension(given))]
+    return given.select("vec_id", vectors.argmax("embedding", names).alias("entry"))
+
+
 @_query
 def classifier_report(spark, sf):
     return classification.classification_report(classification.confusion_matrix(_trained(spark, sf).filter("not is_train")))

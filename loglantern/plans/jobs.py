@@ -132,7 +132,11 @@ def train(
     data_source: str = "embeddings",
     platform: str = "spark",
 ) -> dict:
-    """Labels, splits, trains, measures and stores; returns the run's metadata."""
+    """Labels, splits, trains, measures and stores; returns the run's metadata.
+
+    The held-out rows are scored once, for the confusion counts; accuracy and the report by class follow from those, which
+    are at most the square of the number of labels. Without held-out rows the accuracy is null and the report empty.
+    """
     started = time.time()
     spark = store.sparkSession
     # Several passes follow over rows that took a top-n and a labelling to get: written once, they
@@ -148,7 +152,11 @@ def train(
     model = classification.train_classifier(rows.filter("is_train"), max_iterations=max_iterations)
     fitted = time.time() - fit_started
     judged = classification.predict(model, rows.filter("not is_train").select(key, "label", "embedding"))
-    score = classification.accuracy(judged).first()["accuracy"]
+    counts = classification.confusion_matrix(judged).orderBy("label", "prediction").collect()
+    matrix = spark.createDataFrame(counts, schemas.CONFUSION)
+    report = classification.classification_report(matrix).orderBy("name").collect()
+    measured = sum(r["count"] for r in counts)
+    score = sum(r["count"] for r in counts if r["label"] == r["prediction"]) / measured if measured else None
     metadata = {
         "training_time": fitted,
         "total_time": time.time() - started,
@@ -161,6 +169,8 @@ def train(
         "embeddings_count": sum(labels.values()),
         "model_type": "OneVsRest logistic regression with StandardScaler",
         "platform": platform,
+        "report": [r.asDict() for r in report],
+        "confusion_matrix": [r.asDict() for r in counts],
     }
     metadata["model_path"] = writers.save_model(model, metadata, spark, path)
     return metadata

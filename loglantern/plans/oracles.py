@@ -357,6 +357,9 @@ where message <> '' and len(embedding) = (select max(len(embedding)) from embedd
         + " from predicted group by label",
         "accuracy": f"with {_PREDICTED} select avg(case when label = prediction then 1.0::double else 0.0::double end) "
         "as accuracy from predicted",
+        "classifier_checks": "select cast(label as varchar) as label, count(*) as n, count(*) as n_sum_one, count(*) as n_greatest "
+        "from embeddings group by 1",
+        "largest_entry": "select vec_id, 'e' || cast(list_position(embedding, list_max(embedding)) - 1 as varchar) as entry from embeddings",
         "classification_report": f"""with {_PREDICTED},
 classes as (select label as c from predicted union select prediction from predicted),
 sums as (select c, (select count(*) from predicted where label = c) as support,

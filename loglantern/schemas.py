@@ -66,6 +66,10 @@ OS_LOG_RECORD = _struct(
     messageType=_S,
 )
 
+CONFUSION = _struct(label=_S, prediction=_S, count=_L)
+
+REPORT = _struct(name=_S, precision=_D, recall=_D, f1=_D, support=_L)
+
 MODEL_METADATA = _struct(
     model_path=_S,
     training_time=_D,
@@ -79,6 +83,8 @@ MODEL_METADATA = _struct(
     embeddings_count=_L,
     model_type=_S,
     platform=_S,
+    report=T.ArrayType(REPORT),
+    confusion_matrix=T.ArrayType(CONFUSION),
 )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,8 +23,29 @@ DEFAULTS = {
 }
 
 
+# Applications whose executors have the package.
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, so that its Python functions run wherever the driver was started.
+
+    The sources go as one archive that the driver serves, once for each application. A package that was itself loaded
+    from an archive has come that way already.
+    """
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def build_session(app: str = "loglantern", master: str | None = None, **extra: str) -> SparkSession:
-    """A session with the defaults above; ``extra`` keys use ``__`` in place of dots."""
+    """A session with the defaults above, whose executors have the package; ``extra`` keys use ``__`` in place of dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -30,7 +53,9 @@ def build_session(app: str = "loglantern", master: str | None = None, **extra: s
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:

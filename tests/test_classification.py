@@ -49,6 +49,16 @@ def test_train_store_load_predict(spark, rows, tmp_path):
     assert metadata["accuracy"] > 0.97
     stored = readers.model_runs(spark, path).first()
     assert stored.label_distribution == metadata["label_distribution"] and stored.model_path == metadata["model_path"]
+    # The report and the confusion counts are stored with the run and agree with its accuracy.
+    counts = {(r.label, r.prediction): r["count"] for r in stored.confusion_matrix}
+    assert sum(counts.values()) == metadata["samples_validated"]
+    right = sum(n for (label, found), n in counts.items() if label == found)
+    assert metadata["accuracy"] == pytest.approx(right / metadata["samples_validated"])
+    by_name = {r.name: r for r in stored.report}
+    assert set(by_name) == {"error", "info", "security", "accuracy", "macro avg", "weighted avg"}
+    assert by_name["accuracy"].f1 == pytest.approx(metadata["accuracy"], abs=1e-4)
+    assert by_name["error"].support == sum(n for (label, _), n in counts.items() if label == "error")
+    assert metadata["report"] == [r.asDict() for r in stored.report]
     model = readers.load_newest_model(spark, path)
     assert classification.classes_of(model) == ["error", "info", "security"]
     probe = spark.createDataFrame([([5.0] + [0.0] * 5,), ([0.0, 2.0] + [0.0] * 4,)], "embedding array<float>")
