@@ -59,7 +59,10 @@ def one_line(text: Column | str, n: int = 160) -> Column:
 
 
 def percent(share: Column | str, digits: int = 1) -> Column:
-    return F.round(_column(share) * 100, digits)
+    """A share as a percentage. What is rounded is the product in doubles, as SQL engines do; ``round(x, 1)`` goes by the
+    shortest decimal of x instead and takes 54.949999999999996 for less than half."""
+    scale = 10.0**digits
+    return F.round(_column(share) * 100 * scale) / scale
 
 
 def length_bucket(text: Column | str, width: int = 100) -> Column:

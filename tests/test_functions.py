@@ -142,3 +142,9 @@ def test_log_id_is_content(spark):
     df = spark.createDataFrame(rows, "timestamp string, host string, file string, message string")
     ids = [r.i for r in df.select(log_id().alias("i")).collect()]
     assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 64
+
+
+def test_percent_rounds_the_product(spark):
+    # Products of doubles such as 54.949999999999996; ``round(x * 100, 1)`` in SQL gives the same.
+    shares = [0.5495, 0.5445, 0.6385, -0.6395, 0.85, 1.0, 0.0, None]
+    assert _one(spark, shares, text.percent("x"), "double") == [55.0, 54.5, 63.9, -64.0, 85.0, 100.0, 0.0, None]
