@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import taxonomy, text, vectors
 from ..session import scratch_path
@@ -20,6 +20,8 @@ TRAIN_SHARE = 0.8
 SEED = 42
 MAX_ITERATIONS = 2000
 INVERSE_PENALTY = 1.0
+# The split counts rows by the hash without its last bits first.
+HASH_BITS = 48
 
 
 # -- rows -------------------------------------------------------------------------------------
@@ -45,17 +47,37 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``is_train``: the same share of every label, decided by a hash of the row key.
 
-    The cut is the hash quantile of each label, found by one partial aggregation and held in a
-    table with one row per label; no label is ever gathered in one task. A retried task decides as
-    before, and rows with the same key fall on the same side.
+    The cut is the exact hash quantile of each label: rows are counted by label and first bits of the hash, and then by hash
+    among those bits that hold the quantile. No label is ever gathered in one task. A retried task decides as before, and
+    rows with the same key fall on the same side; where that side would be off by a row or more, the nearer one is taken.
     """
     hashed = labelled.withColumn("__hash", F.xxhash64(key, F.lit(seed)))
-    cuts = hashed.groupBy(label).agg(F.percentile_approx("__hash", F.lit(share), F.lit(100_000)).alias("__cut"))
     # One row per label: a handful of names from the word lists.
-    joined = hashed.join(F.broadcast(cuts), label)
+    joined = hashed.join(F.broadcast(_hash_cuts(hashed.select(label, "__hash"), label, share)), label)
     return joined.withColumn("is_train", F.col("__hash") <= F.col("__cut")).drop("__hash", "__cut")
 
 
+def _hash_cuts(hashed: DataFrame, label: str, share: float) -> DataFrame:
+    """``__cut``: the greatest hash of each label's share."""
+    hashed = hashed.withColumn("__bits", F.shiftright("__hash", HASH_BITS))
+
+    def holding(counted: DataFrame, order: str, before: Column) -> DataFrame:
+        """Of counts in that order the one that reaches the wanted row."""
+        upto = F.sum("__n").over(Window.partitionBy(label).orderBy(order)) + before
+        return counted.withColumn("__upto", upto).filter((F.col("__upto") >= F.ceil("__wanted")) & (F.col("__upto") - F.col("__n") < F.ceil("__wanted")))
+
+    # At most 2 ** 16 counts per label.
+    counted = hashed.groupBy(label, "__bits").agg(F.count(F.lit(1)).alias("__n"))
+    counted = counted.withColumn("__wanted", F.sum("__n").over(Window.partitionBy(label)) * F.lit(share))
+    bits = holding(counted, "__bits", F.lit(0)).select(label, "__bits", (F.col("__upto") - F.col("__n")).alias("__before"), "__wanted")
+    inside = hashed.join(F.broadcast(bits), [label, "__bits"])
+    inside = inside.groupBy(label, "__hash", "__before", "__wanted").agg(F.count(F.lit(1)).alias("__n"))
+    found = holding(inside, "__hash", F.col("__before"))
+    over = F.col("__upto") - F.col("__wanted")
+    beyond = (over >= 1) & (over > F.col("__n") - over)
+    return found.select(label, (F.col("__hash") - beyond.cast("bigint")).alias("__cut"))
+
+
 # -- classifier -------------------------------------------------------------------------------
 
 def as_features(df: DataFrame, embedding: str = "embedding") -> DataFrame:

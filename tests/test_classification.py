@@ -99,3 +99,17 @@ def test_report_with_zero_divisors(spark):
 def test_report_of_nothing(spark):
     empty = spark.createDataFrame([], "label string, prediction string")
     assert classification.classification_report(classification.confusion_matrix(empty)).count() == 0
+
+
+def test_split_is_exact_at_size(spark):
+    rows = spark.range(750_000).withColumn("label", F.when(F.col("id") % 2 == 0, "info").otherwise("error"))
+    split = classification.stratified_split(rows, "id")
+    assert {r.label: r.t for r in split.groupBy("label").agg(F.count_if("is_train").alias("t")).collect()} == {"info": 300_000, "error": 300_000}
+
+
+def test_split_of_repeated_keys(spark):
+    for n, copies in ((7, 1), (7, 2), (40, 2), (1, 9)):
+        rows = spark.range(n).select("id", F.lit("info").alias("label"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
+        sides = classification.stratified_split(rows, "id").groupBy("id").agg(F.count_if("is_train").alias("t")).collect()
+        assert {r.t for r in sides} <= {0, copies}  # copies stay together
+        assert n == 1 or abs(sum(r.t for r in sides) - 0.8 * n * copies) <= 1
