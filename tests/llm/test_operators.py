@@ -513,6 +513,36 @@ def test_forests_find_what_is_odd():
     assert rejected[~is_good].mean() > 0.95 and rejected[is_good].mean() < 0.01
 
 
+def test_forests_come_from_all_labelled_rows(spark):
+    """Bad rows of one kind among very many: a sample of 20,000 would hold none or few of them."""
+    rows = spark.range(60_000).withColumnRenamed("id", "doc_id")
+    noise = lambda k, n: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(n))
+    odd = F.col("doc_id") % 3_000 == 0
+    values = {c: F.lit(0) for c in quality._COUNTS} | {"n_words": 100 + noise(1, 50), "word_chars": 600 + noise(2, 100), "n_alpha": 500 + noise(3, 50), "n_lines": F.lit(5)}
+    values["n_symbols"] = F.when(odd, 200 + noise(4, 50)).otherwise(F.lit(0))
+    statistics = rows.select("doc_id", *[v.cast("bigint").alias(c) for c, v in values.items()])
+    labels = rows.select("doc_id", F.when(odd, 0).otherwise(1).alias("quality"))
+    forests = quality.fit(statistics, labels)
+    # Every row of one half is in a tree: a leaf of each tree counts its rows, and as many are dealt as there are.
+    grown = rows.filter("xxhash64(doc_id, 'forest') & 1 = 0").count()
+    assert forests and all(f.rows * quality.TREES == grown for f in forests)
+    counts = statistics.filter(odd | (F.col("doc_id") < 5_000)).toPandas()
+    kept = quality.verdict({c: counts[c].to_numpy() for c in quality._COUNTS}, forests)[2]
+    bad = counts["doc_id"].to_numpy() % 3_000 == 0
+    assert not kept[bad].any() and kept[~bad].all()
+
+
+def test_thresholds_of_counts_are_those_of_rows():
+    rng = np.random.default_rng(5)
+    score, good = np.round(rng.uniform(0, 0.9, 5_000), 2), rng.uniform(0, 1, 5_000) < 0.9
+    score[~good] = np.round(0.45 + score[~good] / 2, 2)
+    values, at = np.unique(score, return_inverse=True)
+    cut = quality._threshold(values, np.bincount(at[good], minlength=len(values)), np.bincount(at[~good], minlength=len(values)), 0.01)
+    mistakes = lambda c: (score[~good] <= c).sum() + (score[good] > c).sum()
+    allowed = [c for c in np.append(values + 0.005, 1.0) if (score[good] > c).mean() <= 0.01]
+    assert (score[good] > cut).mean() <= 0.01 and mistakes(cut) == min(map(mistakes, allowed))
+
+
 def test_forests_find_a_kind_of_one_in_two_hundred():
     rng = np.random.default_rng(1)
     good = rng.normal(0.5, 0.05, (4000, 3))
