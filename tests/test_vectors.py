@@ -187,3 +187,36 @@ def test_store_stats(spark):
     assert (row.total_embeddings, row.average_embedding_length, row.memory_usage_mb) == (2, 20.0, 0.0)
     spread = {(r.kind, r.key): r["count"] for r in embedding.text_distribution(store).collect()}
     assert spread == {("source", "a"): 1, ("level", "info"): 1}
+
+
+def test_scores_do_not_depend_on_blocks(corpus, queries, vectors):
+    """Copies tie exactly, so that the smaller key comes first, whatever the blocks and batches."""
+    good = corpus.filter("log_id like 'id%'")
+    rows = lambda **bounds: sorted(map(tuple, knn.knn(good, queries, 5, DIM, **bounds).collect()))
+    want = rows()
+    assert want[:5] == [(0, f"id{3 * i:03d}", want[0][2], i + 1) for i in range(5)]
+    for bounds in ({"rows_per_block": 7, "queries_per_block": 2}, {"rows_per_block": 50, "block_bytes": 8 * DIM * 40}):
+        assert rows(max_broadcast=0, **bounds) == want
+    assert sorted(map(tuple, knn.knn(good.repartition(23), queries, 5, DIM).collect())) == want
+
+
+def test_probes_are_not_copies_of_vectors(spark, corpus, queries):
+    """A query goes once to each block of cells, not once to each cell it probes."""
+    cells = ivf.fit_cells(corpus.filter("log_id like 'id%'"), DIM)
+    asked = knn._prepared(queries, "qid", "embedding", DIM, "q")
+    n = len(cells.centres)
+    sent = ivf._asked(asked, cells, n, DIM, np.repeat([0, 1], [n // 2, n - n // 2]), np.ones(n, int)).collect()
+    assert len(sent) == 2 * queries.count() and sum(len(r.cells) for r in sent) == n * queries.count()
+
+
+def test_best_of_near_copies():
+    """Rows that single precision can't tell apart are ordered as in double precision."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=DIM)
+    rows = centre + 1e-9 * rng.normal(size=(3_000, DIM))
+    best = knn._Best(rng.normal(size=(40, DIM)), 5, (16, 512))
+    best.add(np.arange(3_000), rows)
+    scores = best._again(np.repeat(np.arange(40), 3_000), np.tile(np.arange(3_000), 40), knn._Side(rows)).reshape(40, 3_000)
+    for q in range(40):
+        order = np.lexsort((np.arange(3_000), -scores[q]))[:5]
+        assert best.ids[q].tolist() == order.tolist() and best.scores[q].tolist() == scores[q, order].tolist()
