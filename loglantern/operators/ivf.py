@@ -2,8 +2,8 @@
 
 Cells come from a bounded sample; every row is then indexed under the cell of its closest centre. A query scores only the
 rows of the cells whose centres are closest to it, so the work per query falls with the number of cells. Cells and
-queries meet cell by cell in blocks of bounded size: a crowded cell is many blocks, and so are the queries that all
-probe one cell. Nothing depends on how many queries or rows there are.
+queries meet in blocks of bounded size: a block holds the rows of many small cells, a crowded cell is many blocks, and so
+are the queries that all probe one block. A query is sent once to each block with cells that it probes, however many.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .knn import QUERIES_PER_BLOCK, ROWS_PER_BLOCK, _arrow_type, _Best, _prepared, _unit_rows
+from .knn import QUERIES_PER_BLOCK, ROWS_PER_BLOCK, _arrow_type, _Best, _prepared, _raw_rows, _unit_rows
 from .ranking import SALTS, top_per_group
 
 # Rows that the centres are made from: those with the least hash of their key.
@@ -28,6 +28,8 @@ MOST_CELLS = 4_096
 RECALL = 0.93
 TRIED_ROWS = 1_000
 TRIED_NEIGHBOURS = 10
+# Vectors whose distances to all centres are held at a time.
+_PROBED_ROWS = 1_024
 
 
 @dataclass(frozen=True)
@@ -85,28 +87,59 @@ def _probes(unit: np.ndarray, centres: np.ndarray, recall: float, rng: np.random
 def with_cell(corpus: DataFrame, cells: Cells, dim: int, key: str = "log_id", embedding: str = "embedding") -> DataFrame:
     """``c`` (key), ``v`` (vector) and ``cell`` of every row with a vector of that size. Store it partitioned by cell to
     search it again and again."""
-    return _probed(_prepared(corpus, key, embedding, dim, "c"), "c", cells, 1, dim)
+    rows = _prepared(corpus, key, embedding, dim, "c")
+    schema = T.StructType([rows.schema["c"], rows.schema["v"], T.StructField("cell", T.IntegerType())])
+    shared, kind = rows.sparkSession.sparkContext.broadcast(cells), _arrow_type(rows.schema["c"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, whole, found in _probes_of(batches, shared.value, 1, dim):
+            arrays = [batch.column("c").cast(kind).take(whole), batch.column("v").take(whole), pa.array(found[:, 0].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["c", "v", "cell"])
 
+    return rows.select("c", "v").mapInArrow(run, schema)
 
-def _probed(rows: DataFrame, key: str, cells: Cells, n: int, dim: int) -> DataFrame:
-    """One row for each row and probed cell. Rows with a null or NaN in their vector have none."""
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
-    schema = T.StructType([rows.schema[key], rows.schema["v"], T.StructField("cell", T.IntegerType())])
-    kind = _arrow_type(rows.schema[key].dataType)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+def _probes_of(batches: Iterator[pa.RecordBatch], cells: Cells, n: int, dim: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Slices, the places of their rows without null or NaN in the vector, and the ``n`` closest cells of those."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _PROBED_ROWS):
+            part = batch.slice(start, _PROBED_ROWS)
+            unit = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
             unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None] + 1e-12
             whole = np.flatnonzero(np.isfinite(unit).all(axis=1))
-            found = shared.value.nearest(unit[whole], n)
-            at = pa.array(np.repeat(whole, found.shape[1]))
-            arrays = [batch.column(key).cast(kind).take(at), batch.column("v").take(at), pa.array(found.ravel().astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "v", "cell"])
+            yield part, pa.array(whole), cells.nearest(unit[whole], n)
 
-    return rows.select(key, "v").mapInArrow(run, schema)
+
+def _asked(rows: DataFrame, cells: Cells, n: int, dim: int, first: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """``q``, ``v``, ``b`` and ``cells``: each query once for each block with cells it probes, and which those are. A cell's
+    rows are in ``parts`` blocks from ``first`` on; none for an empty cell."""
+    schema = T.StructType([rows.schema["q"], rows.schema["v"], T.StructField("b", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    shared, kind = rows.sparkSession.sparkContext.broadcast((cells, first, parts)), _arrow_type(rows.schema["q"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, first, parts = shared.value
+        holds: dict[int, list[int]] = {}
+        for cell in np.flatnonzero(parts).tolist():
+            for b in range(first[cell], first[cell] + parts[cell]):
+                holds.setdefault(int(b), []).append(cell)
+        for part, whole, found in _probes_of(batches, known, n, dim):
+            probed = np.zeros((len(whole), len(known.centres)), bool)
+            probed[np.arange(len(whole))[:, None], found] = True
+            part = part.take(whole)
+            for b, of in holds.items():
+                mine = probed[:, of]
+                at = np.flatnonzero(mine.any(axis=1))
+                if not len(at):
+                    continue
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(mine[at].sum(axis=1))]).astype(np.int32)),
+                    pa.array(np.asarray(of, np.int32)[np.nonzero(mine[at])[1]]),
+                )
+                some = part.take(pa.array(at))
+                arrays = [some.column("q").cast(kind), some.column("v"), pa.array(np.full(len(at), b, np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["q", "v", "b", "cells"])
+
+    return rows.select("q", "v").mapInArrow(run, schema)
 
 
 def search_cells(
@@ -127,16 +160,29 @@ def search_cells(
     NOT exact: report its recall against ``knn``. With as many probes as cells it is.
     """
     probes = min(cells.probes if probes is None else probes, len(cells.centres))
-    asked = _probed(_prepared(queries, query_key, embedding, dim, "q"), "q", cells, probes, dim)
-    asked = asked.withColumnRenamed("v", "w")
-    # At most one row for each cell.
-    sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("blocks"))
-    wanted = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / queries_per_block).cast("int").alias("parts"))
-    both = F.broadcast(sizes.join(wanted, "cell"))
-    left = index.join(both, "cell").withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    left = left.select("cell", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "c", "v")
-    right = asked.join(both, "cell").withColumn("p", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
-    right = right.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "p", "q", F.col("w").alias("v"))
+    spark, count = index.sparkSession, len(cells.centres)
+    # At most one row for each cell. Small cells share a block, crowded ones are several.
+    sizes = np.zeros(count, np.int64)
+    for row in index.groupBy("cell").count().collect():
+        sizes[row["cell"]] = row["count"]
+    first, parts, block, filled = np.zeros(count, np.int64), -(-sizes // rows_per_block), 0, 0
+    for cell in np.flatnonzero(sizes).tolist():
+        if filled and filled + sizes[cell] > rows_per_block:
+            block, filled = block + 1, 0
+        first[cell] = block
+        block, filled = block + int(parts[cell]) - 1, filled + int(sizes[cell] // parts[cell])
+    places = spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in np.flatnonzero(sizes).tolist()], "cell int, first int, parts int")
+
+    asked = _asked(_prepared(queries, query_key, embedding, dim, "q"), cells, probes, dim, first, parts)
+    # Queries of each block, and the cells of it that any of them probes.
+    wanted = asked.select("b", F.explode(F.concat("cells", F.array(F.lit(-1)))).alias("cell")).groupBy("b", "cell").count()
+    wanted = spark.createDataFrame(wanted.collect(), "b int, cell int, n bigint")
+    split = wanted.filter("cell = -1").select("b", F.ceil(F.col("n") / queries_per_block).cast("int").alias("ps"))
+    probed = wanted.filter("cell >= 0").select("cell").distinct()
+    left = index.join(F.broadcast(places.join(probed, "cell")), "cell")
+    left = left.withColumn("b", (F.col("first") + F.pmod(F.xxhash64("c"), F.col("parts"))).cast("int"))
+    left = left.join(F.broadcast(split), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), "cell", "c", "v")
+    right = asked.join(F.broadcast(split), "b").withColumn("p", F.pmod(F.xxhash64("q"), F.col("ps")).cast("int")).select("b", "p", "q", "v", "cells")
     kinds = (right.schema["q"].dataType, left.schema["c"].dataType)
     out = T.StructType([T.StructField("q", kinds[0]), T.StructField("c", kinds[1]), T.StructField("score", T.DoubleType())])
     arrow = pa.schema([("q", _arrow_type(kinds[0])), ("c", _arrow_type(kinds[1])), ("score", pa.float64())])
@@ -144,12 +190,24 @@ def search_cells(
     def score(rows: pa.Table, some: pa.Table) -> pa.Table:
         if not rows.num_rows or not some.num_rows:
             return arrow.empty_table()
-        query_ids, matrix = _unit_rows(some, "q", dim)
+        query_ids, matrix = _raw_rows(some, "q", dim)
         best = _Best(matrix, k)
-        best.add(*_unit_rows(rows, "c", dim))
+        lists = some["cells"].combine_chunks()
+        asks = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        of = lists.flatten().to_numpy()
+        order = np.argsort(of, kind="stable")
+        asks, of = asks[order], of[order]
+        rows = rows.sort_by("cell")
+        ids, stored = _raw_rows(rows, "c", dim)
+        cell = rows["cell"].to_numpy()
+        for one in np.unique(cell):
+            lower, upper = np.searchsorted(cell, [one, one + 1])
+            which = asks[slice(*np.searchsorted(of, [one, one + 1]))]
+            if len(which):
+                best.add(ids[lower:upper], stored[lower:upper], which)
         return pa.Table.from_batches([best.rows(query_ids, arrow)])
 
-    keys = ["cell", "b", "p"]
+    keys = ["b", "p"]
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, out)
     best = top_per_group(partial, ["q"], [F.col("score").desc(), F.col("c").asc()], k, rank="rank", salts=SALTS)
     return best.select(F.col("q").alias(query_key), F.col("c").alias(corpus_key), "score", "rank")
