@@ -85,6 +85,20 @@ def store_coded(
     coded(store.sparkSession.read.parquet(f"{path}/exact"), dim, key, embedding).write.mode(mode).parquet(f"{path}/codes")
 
 
+# Of a vector's ``same``: two numbers take far less than a text for each candidate.
+_SAME = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _first_copies(ids: np.ndarray, same: np.ndarray, k: int, q: np.ndarray | None = None) -> np.ndarray:
+    """Places without those that follow k smaller keys of an equal vector (of the same query)."""
+    keys = [same["a"], same["b"], *([] if q is None else [q])]
+    order = np.lexsort((ids, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([key[order][1:] != key[order][:-1] for key in keys], axis=0)
+    at = np.arange(len(order))
+    return order[at - np.maximum.accumulate(np.where(new, at, 0)) < k]
+
+
 class _Bounds:
     """Candidates of every query: rows whose greatest possible score reaches the k-th of the least possible ones."""
 
@@ -92,50 +106,48 @@ class _Bounds:
         self.queries, self.k = queries.astype(np.float32), k
         # What rounding can add to a product of two vectors of length one, summed in single precision.
         self.slack = 4 * queries.shape[1] * float(np.finfo(np.float32).eps)
-        self.least = [np.empty(0)] * len(queries)
-        self.floor = np.full(len(queries), -np.inf)
+        # The k greatest lower bounds of each query; the first of them is its floor.
+        self.least = np.full((len(queries), k), -np.inf)
         self.held: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
+    @property
+    def floor(self) -> np.ndarray:
+        return self.least.min(axis=1)
+
     def add(self, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, same: np.ndarray) -> None:
+        if not len(ids):
+            return
+        first = np.sort(_first_copies(ids, same, self.k))
+        ids, codes, scale, error, same = (a[first] for a in (ids, codes, scale, error, same))
         about = (self.queries @ codes.astype(np.float32).T).astype(np.float64) * scale
         wide = error + self.slack
-        high, low = about + wide, about - wide
-        q, row = np.nonzero(high >= self.floor[:, None])
-        for i in np.unique(q):
-            of = row[q == i]
-            best = np.concatenate([self.least[i], low[i, of]])
-            self.least[i] = np.sort(best)[-self.k :]
-            if len(self.least[i]) == self.k:
-                self.floor[i] = self.least[i][0]
-        self._hold(q, ids[row], high[q, row], low[q, row], same[row])
-
-    def _hold(self, q: np.ndarray, ids: np.ndarray, high: np.ndarray, low: np.ndarray, same: np.ndarray) -> None:
-        reached = high >= self.floor[q]
-        self.held.append(tuple(a[reached] for a in (q, ids, high, low, same)))
-        self.n += int(reached.sum())
+        # Lower bounds raise the floors first, so that few pairs are left to be held.
+        low = about - wide
+        raised = np.flatnonzero((low > self.floor[:, None]).any(axis=1))
+        best = np.concatenate([self.least[raised], low[raised]], axis=1)
+        self.least[raised] = np.partition(best, best.shape[1] - self.k, axis=1)[:, best.shape[1] - self.k :]
+        q, row = np.nonzero(about + wide >= self.floor[:, None])
+        about = about[q, row]
+        self.held.append((q, ids[row], about + wide[row], about - wide[row], same[row]))
+        self.n += len(q)
 
     def cut(self) -> None:
         """Lets go what the floor excludes by now, and of equal vectors all but the k smallest keys."""
         if not self.held:
             return
         q, ids, high, low, same = (np.concatenate(parts) for parts in zip(*self.held))
-        keep = high >= self.floor[q]
-        q, ids, high, low, same = (a[keep] for a in (q, ids, high, low, same))
-        order = np.lexsort((ids, same, q))
-        q, ids, high, low, same = (a[order] for a in (q, ids, high, low, same))
-        if len(q):
-            new = np.r_[True, (q[1:] != q[:-1]) | (same[1:] != same[:-1])]
-            place = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
-            q, ids, high, low, same = (a[place < self.k] for a in (q, ids, high, low, same))
-        self.held, self.n = [(q, ids, high, low, same)], len(q)
+        keep = np.flatnonzero(high >= self.floor[q])
+        keep = keep[_first_copies(ids[keep], same[keep], self.k, q[keep])]
+        self.held, self.n = [tuple(a[keep] for a in (q, ids, high, low, same))], len(keep)
 
     def taken(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
         self.cut()
-        empty = tuple(np.empty(0, dtype) for dtype in (np.int64, np.int64, float, float, "S32"))
+        empty = tuple(np.empty(0, dtype) for dtype in (np.int64, np.int64, float, float, _SAME))
         q, ids, high, low, same = self.held[0] if self.held else empty
         self.held, self.n = [], 0
-        columns = (query_ids[q] if len(q) else [], ids if len(q) else [], high, low, same.tolist())
+        names = [f"{a:016x}{b:016x}" for a, b in same.tolist()]
+        columns = (query_ids[q] if len(q) else [], ids if len(q) else [], high, low, names)
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
@@ -167,13 +179,13 @@ def candidates(
         bounds = _Bounds(matrix, k)
         for batch in batches:
             # A share of the batch at a time, so that queries x rows stays small.
-            step = max(1, (4 << 20) // max(1, len(matrix)))
+            step = max(k, (2 << 20) // max(1, len(matrix)))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 ids = part.column(key).to_numpy(zero_copy_only=False)
                 ids = ids.astype(str) if ids.dtype == object else ids
                 code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.int8).reshape(-1, dim)
-                same = np.array([s.hex() for s in part.column("same").to_pylist()], dtype="U32")
+                same = np.frombuffer(b"".join(part.column("same").to_pylist()), _SAME)
                 numbers = [part.column(c).to_numpy() for c in ("scale", "error")]
                 bounds.add(ids, code, *numbers, same)
                 if bounds.n > HELD_ROWS:

@@ -1,5 +1,7 @@
 """Exact neighbours by a first pass over vectors stored as bytes."""
 
+import tracemalloc
+
 import glob
 import os
 import tempfile
@@ -116,3 +118,25 @@ def test_first_pass_reads_less(spark, sf_dir, plan):
     asked = given.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "qid")
     found = quantised.search(codes, exact, asked, 5, dim, corpus_key="vec_id")
     assert "PushedFilters: [Or(" in plan(found) and "CartesianProduct" not in plan(found)
+
+
+def test_candidates_take_little_memory():
+    """Rows that can't be among the best, and copies beyond the k-th, are never held for each query."""
+    rng = np.random.default_rng(2)
+    queries, codes = rng.normal(size=(400, 64)), rng.integers(-127, 128, (5_000, 64)).astype(np.int8)
+    codes[:2_500] = codes[0]
+    queries /= np.linalg.norm(queries, axis=1)[:, None]
+    scale = 1 / np.linalg.norm(codes.astype(float), axis=1)
+    same = np.zeros(5_000, quantised._SAME)
+    same["a"] = np.maximum(np.arange(5_000), 2_499)
+    tracemalloc.start()
+    bounds = quantised._Bounds(queries, 5)
+    bounds.add(np.arange(5_000), codes, scale, np.full(5_000, 1e-3), same)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bounds.n < 400 * 100 and peak < 150 << 20
+    exact = (queries @ codes.T.astype(float)) * scale
+    bounds.cut()
+    q, ids, *_ = bounds.held[0]
+    for i in range(400):
+        assert set(np.lexsort((np.arange(5_000), -np.round(exact[i], 12)))[:5].tolist()) <= set(ids[q == i].tolist())
