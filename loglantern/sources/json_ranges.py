@@ -44,32 +44,37 @@ def structure(data: np.ndarray, in_text: bool, escaped: bool) -> tuple[np.ndarra
     """Change of depth at each byte and whether it is inside a text, and how the bytes end (in a text, behind a backslash)."""
     if not len(data):
         return np.zeros(0, np.int8), np.zeros(0, bool), in_text, escaped
-    slash = data == _BACKSLASH
-    # A byte is escaped if an odd number of backslashes stands right before it.
-    place = np.arange(len(data))
-    other = np.where(~slash, place, -1)
-    last = np.maximum.accumulate(other)
-    run = np.zeros(len(data), np.int64)  # backslashes right before the byte
-    run[1:] = place[1:] - 1 - last[:-1]
-    lead = np.zeros(len(data), bool)
-    lead[0] = True
-    lead[1:] = last[:-1] < 0  # only backslashes before, back to the beginning
-    odd = ((run + (lead & escaped)) & 1).astype(bool)
-    quote = (data == _QUOTE) & ~odd
-    before = np.cumsum(quote) - quote
-    inside = ((before + in_text) & 1).astype(bool)
+    quote = data == _QUOTE
+    at = np.flatnonzero(data == _BACKSLASH)
+    ends_escaped = False
+    if escaped and data[0] == _QUOTE:
+        quote[0] = False
+    if len(at):
+        # A byte is escaped if an odd number of backslashes stands right before it.
+        breaks = np.flatnonzero(np.diff(at) > 1)
+        firsts, lasts = at[np.r_[0, breaks + 1]], at[np.r_[breaks, len(at) - 1]]
+        odd = ((lasts - firsts + 1 + (escaped & (firsts == 0))) & 1).astype(bool)
+        behind = lasts[odd] + 1
+        ends_escaped = bool(odd[-1] and lasts[-1] == len(data) - 1)
+        quote[behind[behind < len(data)]] = False
+    flips = quote.view(np.uint8)
+    inside = ((np.bitwise_xor.accumulate(flips) ^ flips) ^ np.uint8(in_text)).astype(bool)
     outside = ~inside & ~quote
     change = (_OPEN[data] & outside).astype(np.int8) - (_CLOSE[data] & outside).astype(np.int8)
-    ends_in_text = bool((int(quote.sum()) + in_text) & 1)
-    return change, inside, ends_in_text, bool(slash[-1] and not odd[-1])
+    ends_in_text = bool((int(np.count_nonzero(quote)) + in_text) & 1)
+    return change, inside, ends_in_text, ends_escaped
 
 
-def _read(path: str, first: int, last: int) -> Iterator[np.ndarray]:
+def _read(path: str, first: int, last: int, end: int | None = None) -> Iterator[np.ndarray]:
+    """The bytes of the range, and if ``end`` is given those behind it, in pieces that grow from small ones."""
     store, inside = _store(path)
     with store.open_input_file(inside) as f:
         f.seek(first)
-        while first < last:
-            data = f.read(min(_CHUNK, last - first))
+        more = max(1, _CHUNK >> 6)
+        while first < max(last, end or 0):
+            if first >= last:
+                more = min(2 * more, _CHUNK)
+            data = f.read(min(_CHUNK, last - first) if first < last else min(more, end - first))
             if not data:
                 return
             first += len(data)
@@ -80,9 +85,16 @@ def _summary(path: str, first: int, last: int) -> list[tuple[bool, bool, int]]:
     """For each beginning (in a text or not, behind a backslash or not): how the range ends, and the change of depth."""
     ends = [(bool(k & 2), bool(k & 1), 0) for k in range(4)]
     for data in _read(path, first, last):
-        for k, (in_text, escaped, depth) in enumerate(ends):
-            change, _, in_text, escaped = structure(data, in_text, escaped)
-            ends[k] = (in_text, escaped, depth + int(change.sum(dtype=np.int64)))
+        # Read once for each way the chunk's first byte may be escaped that matters; a text outside is one inside if it begins in one.
+        known = {}
+        for escaped in sorted({escaped for _, escaped, _ in ends}):
+            if escaped and data[0] not in (_QUOTE, _BACKSLASH) and False in known:
+                known[True] = known[False]
+                continue
+            _, inside, in_text, last_escaped = structure(data, False, escaped)
+            bracket = _OPEN[data].astype(np.int8) - _CLOSE[data].astype(np.int8)
+            known[escaped] = [(in_text, last_escaped, int(bracket[~inside].sum(dtype=np.int64))), (not in_text, last_escaped, int(bracket[inside].sum(dtype=np.int64)))]
+        ends = [(*known[escaped][in_text][:2], depth + known[escaped][in_text][2]) for in_text, escaped, depth in ends]
     return ends
 
 
@@ -99,7 +111,7 @@ def records(path: str, first: int, last: int, size: int, in_text: bool, escaped:
     """The texts of the objects at depth ``level`` that begin in the range."""
     held: list[bytes] = []  # of a record that has begun
     place = first
-    for data in _read(path, first, size):
+    for data in _read(path, first, last, size):
         if place >= last and not held:
             return
         change, _, in_text, escaped = structure(data, in_text, escaped)
@@ -136,7 +148,9 @@ def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
         ranges += [(name, first, min(first + range_bytes, size), size) for first in range(0, size, range_bytes)]
     if not ranges:
         return spark.createDataFrame([], "value string, file string, at bigint")
-    dealt = spark.createDataFrame(ranges, "file string, first bigint, last bigint, size bigint").repartition(len(ranges), "file", "first")
+    # Small ranges are many a task: a task for each would cost more than its work, and shuffles the square of their number.
+    tasks = min(len(ranges), max(4 * spark.sparkContext.defaultParallelism, -(-sum(last - first for _, first, last, _ in ranges) // RANGE_BYTES)))
+    dealt = spark.createDataFrame(ranges, "file string, first bigint, last bigint, size bigint").repartition(tasks, "file", "first")
     ends = ", ".join(f"t{k} boolean, e{k} boolean, d{k} bigint" for k in range(4))
 
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +186,7 @@ def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     begun = known.groupBy("file").applyInPandas(
         composed, "file string, first bigint, last bigint, size bigint, in_text boolean, escaped boolean, depth bigint, level bigint"
     )
-    return begun.repartition(len(ranges), "file", "first").mapInArrow(read, "value string, file string, at bigint")
+    return begun.repartition(tasks, "file", "first").mapInArrow(read, "value string, file string, at bigint")
 
 
 def _rows(values: list[str], r: dict) -> pa.RecordBatch:
