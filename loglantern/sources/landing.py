@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,6 +23,8 @@ from ..schemas import LOGS
 COMPRESSION = "zstd"
 # Files below this size are merged into files of about this size.
 FILE_BYTES = 128 << 20
+# Greatest number of rows of such a file: one task sorts them, and a compressed file may unfold to many times its size.
+FILE_ROWS = 1_000_000
 _BATCHES = "_batches"
 _UPKEEP = "_upkeep"
 
@@ -149,7 +150,9 @@ def _swap(spark: SparkSession, path: str, month: int, names: list[str], keep: Co
     run, prefix = f"{path}/{_UPKEEP}/{uuid.uuid4().hex}", f"m{uuid.uuid4().hex}"
     rows = spark.read.parquet(*[f"{path}/ym={month}/{name}" for name in names])
     rows = rows if keep is None else rows.filter(keep)
-    ordered = rows.repartitionByRange(files, "timestamp").sortWithinPartitions("timestamp") if files > 1 else rows.coalesce(1).sortWithinPartitions("timestamp")
+    # Rows of one instant, however many, may go to several files.
+    other = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    ordered = rows.repartitionByRange(files, "timestamp", F.xxhash64(*other)).sortWithinPartitions("timestamp") if files > 1 else rows.coalesce(1).sortWithinPartitions("timestamp")
     ordered.withColumn("ym", F.lit(month)).write.partitionBy("ym").option("compression", COMPRESSION).parquet(f"{run}/new")
     come = _take_in(store, f"{run}/new", path, prefix)
     store.write(f"{run}/marker", json.dumps({"come": come, "go": [f"{path}/ym={month}/{name}" for name in names]}))
@@ -179,33 +182,44 @@ def expire(spark: SparkSession, path: str, as_of: Instant = None, days: int = 30
             for name in whole:
                 store.drop(name)
             continue
-        name_of = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        found = spark.read.parquet(*whole).groupBy(name_of.alias("name")).agg(F.count_if(old).alias("gone"), F.count(F.lit(1)).alias("rows"))
+        found = spark.read.parquet(*whole).groupBy(_file_name().alias("name")).agg(F.count_if(old).alias("gone"), F.count(F.lit(1)).alias("rows"))
         stale = {row["name"]: row for row in found.filter("gone > 0").collect()}
         for name in [n for n, row in stale.items() if row["gone"] == row["rows"]]:
             store.drop(f"{path}/ym={month}/{name}")
         partly = [n for n, row in stale.items() if row["gone"] < row["rows"]]
         if partly:
             sizes = dict(_files(store, path, month))
-            _swap(spark, path, month, partly, ~old, max(1, -(-sum(sizes[n] for n in partly) // FILE_BYTES)))
+            _swap(spark, path, month, partly, ~old, _files_for(sum(sizes[n] for n in partly), sum(stale[n]["rows"] - stale[n]["gone"] for n in partly)))
         removed += sum(row["gone"] for row in stale.values())
     return removed
 
 
-def _groups(files: list[tuple[str, int]], file_bytes: int) -> Iterator[tuple[list[str], int]]:
+def _file_name() -> Column:
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+
+
+def _files_for(size: int, rows: int, file_bytes: int = FILE_BYTES, file_rows: int = FILE_ROWS) -> int:
+    return max(1, -(-size // file_bytes), -(-rows // file_rows))
+
+
+def _small(spark: SparkSession, path: str, month: int, file_bytes: int, file_rows: int) -> tuple[list[str], int]:
     """Small files of a month to merge, and into how many."""
-    small = [(name, size) for name, size in files if size < file_bytes // 2]
-    if len(small) > 1:
-        yield [name for name, _ in small], max(1, -(-sum(size for _, size in small) // file_bytes))
+    small = {name: size for name, size in _files(_Store(spark, path), path, month) if size < file_bytes // 2}
+    if len(small) < 2:
+        return [], 0
+    rows = spark.read.parquet(*[f"{path}/ym={month}/{name}" for name in small]).groupBy(_file_name().alias("name")).count()
+    rows = {row["name"]: row["count"] for row in rows.collect()}  # a file without rows isn't there
+    names = [name for name in small if rows.get(name, 0) < file_rows // 2]
+    return names, _files_for(sum(small[n] for n in names), sum(rows.get(n, 0) for n in names), file_bytes, file_rows)
 
 
-def compact(spark: SparkSession, path: str, file_bytes: int = FILE_BYTES) -> int:
+def compact(spark: SparkSession, path: str, file_bytes: int = FILE_BYTES, file_rows: int = FILE_ROWS) -> int:
     """Merges the small files of each month and returns how many files there are fewer."""
     recover(spark, path)
     store, fewer = _Store(spark, path), 0
     for month in _months(store, path):
-        for names, files in _groups(_files(store, path, month), file_bytes):
-            if files < len(names):
-                _swap(spark, path, month, names, None, files)
-                fewer += len(names) - files
+        names, files = _small(spark, path, month, file_bytes, file_rows)
+        if files < len(names):
+            _swap(spark, path, month, names, None, files)
+            fewer += len(names) - files
     return fewer

@@ -171,3 +171,34 @@ def test_arrays_are_read_as_by_one_task(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert json_ranges.read_records(spark, str(tmp_path / "none")).count() == 0
     assert rows.select(F.col("metadata")["subsystem"].alias("s")).distinct().collect()[0].s == ""
+
+
+def test_small_ranges_share_tasks_and_read_little(spark, tmp_path, monkeypatch):
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps([{"source": "s", "eventMessage": "m" * 50}] * 500))
+    found = json_ranges.read_records(spark, str(path), range_bytes=100)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert found.count() == 500
+    seen = []
+    monkeypatch.setattr(json_ranges, "structure", lambda data, *state, real=json_ranges.structure: seen.append(len(data)) or real(data, *state))
+    size = path.stat().st_size
+    assert len(list(json_ranges.records(str(path), 0, 100, size, False, False, 0, 1))) == 2
+    seen.clear()
+    monkeypatch.setattr(json_ranges, "_CHUNK", 1 << 10)
+    list(json_ranges.records(str(path), 0, 100, size, False, False, 0, 1))
+    assert sum(seen) < 400
+    seen.clear()
+    json_ranges._summary(str(path), 0, 1000)
+    assert sum(seen) == 1000  # not once for each of four beginnings
+
+
+def test_merged_files_have_bounded_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(4_000).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("timestamp"))
+    for batch in range(4):
+        landing.land(rows.withColumn("id", F.col("id") + 4_000 * batch), path, batch)
+    before = landing.read_landed(spark, path).count()
+    assert landing.compact(spark, path, file_rows=2_000) > 0
+    assert landing.compact(spark, path, file_rows=2_000) == 0  # full files stay
+    sizes = landing.read_landed(spark, path).groupBy(landing._file_name().alias("name")).count().collect()
+    assert sum(r["count"] for r in sizes) == before == 16_000 and max(r["count"] for r in sizes) <= 4_000
